@@ -6,7 +6,7 @@ times and once more if a hash of its id, seeded, falls below the fraction. The r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import TOKENIZER, token_count
@@ -36,8 +36,8 @@ def rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     have = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("available"))
     t = t.join(have, "source", "left").fillna(0, ["documents", "available"])
     live = F.when(F.col("available") > 0, F.col("weight"))
-    whole = t.agg(F.sum("weight").alias("all_weights"), F.sum(live).alias("live_weights"), F.min(F.col("max_repeats") * F.col("available") / live).alias("most"))
-    t = t.crossJoin(F.broadcast(whole))  # one row
+    whole = Window.partitionBy()  # one row per target, so one small partition
+    t = t.withColumns({"all_weights": F.sum("weight").over(whole), "live_weights": F.sum(live).over(whole), "most": F.min(F.col("max_repeats") * F.col("available") / live).over(whole)})
     size = F.lit(float(total_tokens)) / F.col("live_weights") if total_tokens is not None else F.col("most")
     rate = F.when(F.col("available") > 0, F.least(F.col("max_repeats"), size * F.col("weight") / F.col("available"))).otherwise(F.lit(0.0))
     return t.select("source", (F.col("weight") / F.col("all_weights")).alias("weight"), F.col("max_repeats").cast("int").alias("max_repeats"), "documents", "available", rate.alias("rate"))
@@ -66,5 +66,5 @@ def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: int | Non
     table = rates(sizes, targets, total_tokens)
     got = draw(sizes, table, seed).groupBy("source").agg(F.count(F.lit(1)).alias("emitted"), F.sum("tokens").alias("drawn_tokens"))
     out = table.join(got, "source", "left").fillna(0, ["emitted", "drawn_tokens"])
-    total = out.agg(F.sum("drawn_tokens").alias("all_drawn"))
-    return out.crossJoin(F.broadcast(total)).withColumn("share", F.when(F.col("all_drawn") > 0, F.col("drawn_tokens") / F.col("all_drawn")).otherwise(F.lit(0.0))).drop("all_drawn")
+    total = F.sum("drawn_tokens").over(Window.partitionBy())  # one row per target
+    return out.withColumn("all_drawn", total).withColumn("share", F.when(F.col("all_drawn") > 0, F.col("drawn_tokens") / F.col("all_drawn")).otherwise(F.lit(0.0))).drop("all_drawn")
