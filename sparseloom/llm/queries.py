@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, mix, tokens, topn
+from . import chunks, mix, nearest, overlap, pack, tokens, topn
 from .common import read
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    dense = nearest.nearest_vectors(read(spark, d, "queries"), read(spark, d, "corpus"), 5)
+    codes = read(spark, d, "sparse_codes")
+    code = nearest.nearest_codes(codes.filter("role = 'query'"), codes.filter("role = 'corpus'"), 5)
+    out = dense.select(F.lit("dense").alias("space"), "query_idx", F.col("idx").alias("corpus_idx"))
+    return out.unionByName(code.select(F.lit("code").alias("space"), "query_idx", F.col("idx").alias("corpus_idx")))
+
+
+def p2_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages whose idx is divisible by 50 against all passages; the passage itself is among its own."""
+    corpus = read(spark, d, "corpus")
+    return nearest.nearest_vectors(corpus.filter("idx % 50 = 0"), corpus, 6)
+
+
 def p3_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_budget(read(spark, d, "corpus"), read(spark, d, "books"))
 
@@ -27,6 +41,21 @@ def p4_top_hits(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(read(spark, d, "search_hits"), "query_id", "doc_id", "hamming", 5)
 
 
+def _train(role: str = "role"):
+    return F.col(role) == "train"
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    split = read(spark, d, "retrieval_split").filter(F.col("role").isin("train", "db", "query"))
+    pairs = overlap.cross_split_pairs(split, _train())
+    return pairs.select(F.least("eval_idx", "train_idx").alias("idx_a"), F.greatest("eval_idx", "train_idx").alias("idx_b")).distinct()
+
+
+def p6_overlap_report(spark: SparkSession, d: str) -> DataFrame:
+    split = read(spark, d, "retrieval_split").filter(F.col("role").isin("train", "db", "query"))
+    return overlap.overlap_report(split, _train())
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunks.split_oversized(read(spark, d, "corpus"))
 
@@ -35,6 +64,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_pieces(spark, d).filter("piece_no = 0 and n_pieces > 1").select("idx")
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack(mix.sized_documents(read(spark, d, "documents")), read(spark, d, "pack_specs"))
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack_report(_packed(spark, d))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
@@ -44,7 +85,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_token_budget, p3_passage_tokens, p4_found, p4_top_hits, p7_found, p7_pieces, p9_mix, p9_report)
+    f.__name__: f for f in (p2_found, p2_passages, p3_passage_tokens, p3_token_budget, p4_found, p4_top_hits, p6_found, p6_overlap_report, p7_found, p7_pieces, p8_pack, p8_report, p9_mix, p9_report)
 }
 
 _TOP5 = """
@@ -54,8 +95,23 @@ SELECT query_id, doc_id, hamming, position FROM (
         WHERE query_id IS NOT NULL AND doc_id IS NOT NULL AND hamming >= 0 GROUP BY query_id, doc_id))
 WHERE position <= 5"""
 
+_VALID = "vec IS NOT NULL AND len(vec) = 64 AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND isfinite(x)))"
+
 SQL: dict[str, str] = {
+    "p2_found": f"""
+WITH c AS (SELECT DISTINCT idx, vec FROM corpus WHERE {_VALID}), q AS (SELECT DISTINCT idx, vec FROM queries WHERE {_VALID}),
+s AS (SELECT DISTINCT role, idx, list_sort(list_distinct(code)) AS code FROM sparse_codes WHERE len(list_distinct(code)) = 16),
+d AS (SELECT 'dense' AS space, q.idx AS query_idx, c.idx AS corpus_idx, round(list_cosine_similarity(q.vec, c.vec), 12) AS score FROM q, c
+      UNION ALL SELECT 'code', a.idx, b.idx, len(list_intersect(a.code, b.code)) FROM s a, s b WHERE a.role = 'query' AND b.role = 'corpus')
+SELECT space, query_idx, corpus_idx FROM d
+QUALIFY row_number() OVER (PARTITION BY space, query_idx ORDER BY score DESC, corpus_idx) <= 5""",
     "p4_found": f"SELECT query_id, doc_id FROM ({_TOP5})",
     "p4_top_hits": _TOP5,
+    "p6_found": """
+WITH v AS (SELECT DISTINCT idx, role, vec FROM retrieval_split
+           WHERE role IN ('train', 'db', 'query') AND len(vec) = 64 AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND isfinite(x)))
+             AND list_sum(list_transform(vec, lambda x: abs(x))) > 0)
+SELECT DISTINCT least(a.idx, b.idx) AS idx_a, greatest(a.idx, b.idx) AS idx_b
+FROM v a JOIN v b ON a.role <> 'train' AND b.role = 'train' AND list_cosine_similarity(a.vec, b.vec) >= 0.975""",
     "p7_found": r"""SELECT DISTINCT idx FROM corpus WHERE len(regexp_extract_all(text, '[^ \t\n\r]+')) > 350""",
 }
