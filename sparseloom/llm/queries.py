@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, mix, nearest, overlap, pack, tokens, topn
+from . import chunks, mix, nearest, overlap, pack, reading, tokens, topn
 from .common import read
 
 
@@ -84,8 +84,20 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_report(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
 
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_level(read(spark, d, "documents"), read(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_levels(spark, d).select("doc_id", "band")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.profile(p10_levels(spark, d), read(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_passages, p3_passage_tokens, p3_token_budget, p4_found, p4_top_hits, p6_found, p6_overlap_report, p7_found, p7_pieces, p8_pack, p8_report, p9_mix, p9_report)
+    f.__name__: f for f in (p2_found, p2_passages, p3_passage_tokens, p3_token_budget, p4_found, p4_top_hits, p6_found, p6_overlap_report, p7_found, p7_pieces, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_levels, p10_profile)
 }
 
 _TOP5 = """
