@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
 from .tokens import TOKENIZER, token_count
 
 
@@ -56,13 +57,13 @@ def draw(sizes: DataFrame, rate_table: DataFrame, seed: int = 42, key: str = "do
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, path: str = TOKENIZER) -> DataFrame:
     """Documents drawn to the targets' weights; see `rates` and `draw`. Documents of sources without a target, with a null
     source or without tokens are not drawn. Repeated doc_ids count as they come."""
-    sizes = sized_documents(documents, path)
+    sizes = checkpoint(sized_documents(documents, path))  # three columns; else every text is tokenised twice
     return draw(sizes, rates(sizes, targets, total_tokens), seed)
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, path: str = TOKENIZER) -> DataFrame:
     """Per target: source, weight, max_repeats, documents, available, rate, emitted, drawn_tokens, share (of all drawn tokens)."""
-    sizes = sized_documents(documents, path)
+    sizes = checkpoint(sized_documents(documents, path))
     table = rates(sizes, targets, total_tokens)
     got = draw(sizes, table, seed).groupBy("source").agg(F.count(F.lit(1)).alias("emitted"), F.sum("tokens").alias("drawn_tokens"))
     out = table.join(got, "source", "left").fillna(0, ["emitted", "drawn_tokens"])
