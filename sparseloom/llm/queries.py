@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, mix, nearest, overlap, pack, reading, tokens, topn
+from . import chunks, mix, nearest, overlap, pack, reading, spectral, tokens, topn
 from .common import read
 
 
+def _clusters(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spectral.spectral_clusters(read(spark, d, table)).withColumn("table_name", F.lit(table))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    both = _clusters(spark, d, "corpus").unionByName(_clusters(spark, d, "labeled"))
+    return both.filter("size >= 3 and tight").select("table_name", "idx", F.col("cluster").alias("cluster_idx"))
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    parts = [spectral.describe(_clusters(spark, d, t)).withColumn("table_name", F.lit(t)) for t in ("corpus", "labeled")]
+    return parts[0].unionByName(parts[1])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     dense = nearest.nearest_vectors(read(spark, d, "queries"), read(spark, d, "corpus"), 5)
     codes = read(spark, d, "sparse_codes")
@@ -97,7 +111,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_passages, p3_passage_tokens, p3_token_budget, p4_found, p4_top_hits, p6_found, p6_overlap_report, p7_found, p7_pieces, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_levels, p10_profile)
+    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_passages, p3_passage_tokens, p3_token_budget, p4_found, p4_top_hits, p6_found, p6_overlap_report, p7_found, p7_pieces, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_levels, p10_profile)
 }
 
 _TOP5 = """
