@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, mix, nearest, overlap, pack, reading, spectral, tokens, topn
+from . import chunks, garble, mix, nearest, overlap, pack, reading, spectral, tokens, topn
 from .common import read
 
 
@@ -55,6 +55,14 @@ def p4_top_hits(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(read(spark, d, "search_hits"), "query_id", "doc_id", "hamming", 5)
 
 
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garble.restored_values(read(spark, d, "corpus"), read(spark, d, "books"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_restored(spark, d).select("idx", "field").distinct()
+
+
 def _train(role: str = "role"):
     return F.col(role) == "train"
 
@@ -111,7 +119,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_passages, p3_passage_tokens, p3_token_budget, p4_found, p4_top_hits, p6_found, p6_overlap_report, p7_found, p7_pieces, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_levels, p10_profile)
+    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_passages, p3_passage_tokens, p3_token_budget, p4_found, p4_top_hits, p5_found, p5_restored, p6_found, p6_overlap_report, p7_found, p7_pieces, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_levels, p10_profile)
 }
 
 _TOP5 = """
