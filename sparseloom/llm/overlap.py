@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import DIM, checkpoint, list_matrix, stack, unit, usable_vector
 
@@ -62,7 +63,7 @@ def _hasher(bits: int, tables: int, seed: int, dim: int):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype="float64")
