@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -78,11 +79,18 @@ def decoded(word: str, written: str, read: str) -> str | None:
     return text
 
 
-def clean_vocabulary(counts: dict[str, dict[str, int]]) -> dict[str, list[str]]:
-    """Words by language in order of falling frequency, without those that are another word's garbled form."""
+@dataclass(frozen=True)
+class Vocabulary:
+    words: dict[str, list[str]]  # by language, in order of falling frequency
+    unsure: frozenset[str]  # words of a letter or two that may be another's garbled form: changed only along with others
+
+
+def clean_vocabulary(counts: dict[str, dict[str, int]]) -> Vocabulary:
+    """Words by language without those that are another word's garbled form."""
     total: Counter[str] = Counter()
     for words in counts.values():
         total.update(words)
+    unsure: set[str] = set()
 
     def garbled(word: str) -> bool:
         if LOST in word:
@@ -92,13 +100,15 @@ def clean_vocabulary(counts: dict[str, dict[str, int]]) -> dict[str, list[str]]:
             if other is not None:
                 if written == "utf-8" and plausible(other, word):
                     return True
-                # one or two letters of one alphabet are often one or two of another
-                if len(word) > 2 and total.get(other, 0) >= RATIO * total[word]:
-                    return True
+                if total.get(other, 0) >= RATIO * total[word]:
+                    # one or two letters of one alphabet are often one or two of another
+                    if len(word) > 2:
+                        return True
+                    unsure.add(word)
         return False
 
     bad = {w for w in total if garbled(w)}
-    return {lang: [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])) if w not in bad] for lang, words in counts.items()}
+    return Vocabulary({lang: [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])) if w not in bad] for lang, words in counts.items()}, frozenset(unsure))
 
 
 def plausible(text: str, source: str) -> bool:
@@ -108,14 +118,15 @@ def plausible(text: str, source: str) -> bool:
 
 
 class Restorer:
-    def __init__(self, vocabulary: dict[str, list[str]]):
+    def __init__(self, vocabulary: Vocabulary):
         import zstandard as z
 
-        self.known = {w for words in vocabulary.values() for w in words}
+        self.known = {w for words in vocabulary.words.values() for w in words}
+        self.unsure = vocabulary.unsure
         # for short texts: matches from three bytes on
         params = z.ZstdCompressionParameters.from_level(LEVEL, source_size=1024, dict_size=DICTIONARY_BYTES, format=z.FORMAT_ZSTD1_MAGICLESS, min_match=3, strategy=z.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.compressors = []
-        for words in vocabulary.values():
+        for words in vocabulary.words.values():
             body, size = [], 0
             for w in words:
                 b = w.encode()
@@ -140,7 +151,7 @@ class Restorer:
         data = (" ".join(words) + " ").encode("utf-8", "replace")
         return min(len(c.compress(carrier + data)) - alone for c, carrier, alone in self.compressors) + ESCAPE * sum(w not in self.known for w in words)
 
-    def candidates(self, doubtful: dict[str, str]) -> Iterator[tuple[dict[str, str], float]]:
+    def candidates(self, doubtful: dict[str, str], unsure: dict[str, str]) -> Iterator[tuple[dict[str, str], float]]:
         """The doubtful words under every chain that some of them fit, with the chain's cost; UTF-8 also read wrongly twice."""
         for written, read in CHAINS:
             utf8 = written == "utf-8"
@@ -152,6 +163,7 @@ class Restorer:
             # a letter or two alone fit too much in encodings of one byte
             if not new or not utf8 and all(len(doubtful[w]) < 3 for w in new):
                 continue
+            new |= {w: t for w in unsure if (t := decoded(unsure[w], written, read)) in self.known}
             yield new, UTF8_COST if utf8 else SINGLE_BYTE_COST
             if utf8:
                 for _, again in (c for c in CHAINS if c[0] == "utf-8"):
@@ -169,7 +181,8 @@ class Restorer:
             if not doubtful:
                 break
             best, best_cost = None, self.length(list(now.values()))
-            for new, chain_cost in self.candidates({w: now[w] for w in doubtful}):
+            unsure = {w: t for w, t in now.items() if t == w and w in self.unsure}
+            for new, chain_cost in self.candidates({w: now[w] for w in doubtful}, unsure):
                 cost = self.length(list((now | new).values())) + chain_cost
                 if cost < best_cost:
                     best, best_cost = new, cost
@@ -222,7 +235,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def vocabulary(corpus: DataFrame, books: DataFrame, fields: tuple[str, ...] = ("title", "text"), slug: str = "book_slug") -> dict[str, list[str]]:
+def vocabulary(corpus: DataFrame, books: DataFrame, fields: tuple[str, ...] = ("title", "text"), slug: str = "book_slug") -> Vocabulary:
     """Frequent words beyond ASCII by language of the book ("und" where it is not known), counted over all rows."""
     b = books.select(canonical_slug(F.col("book_slug")).alias("s"), F.lower("lang").alias("lang")).filter("s is not null").groupBy("s").agg(F.min("lang").alias("lang"))
     beyond = [F.col(f).rlike(r"[^\x00-\x7F]") for f in fields]

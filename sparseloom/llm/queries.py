@@ -17,7 +17,7 @@ def _clusters(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     both = _clusters(spark, d, "corpus").unionByName(_clusters(spark, d, "labeled"))
-    return both.filter("size >= 3 and tight").select("table_name", "idx", F.col("cluster").alias("cluster_idx"))
+    return both.filter("size >= 3 and tight and isolated").select("table_name", "idx", F.col("cluster").alias("cluster_idx"))
 
 
 def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
