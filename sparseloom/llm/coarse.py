@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import list_matrix, unit
 
-#: The most rows the centres are fitted on, and the most centres: these bound what is collected and broadcast.
-SAMPLE_ROWS, MOST_LISTS, ROWS_PER_LIST, BLOCK = 16_384, 4_096, 384, 8_192
+#: The rows the centres are fitted on (two for each centre, if that is more), and the most centres: these bound what is
+#: collected (65,536 vectors) and broadcast (32,768 centres). Rows per list aimed at, and the most rows a task takes of a list.
+SAMPLE_ROWS, MOST_LISTS, ROWS_PER_LIST, BLOCK = 16_384, 32_768, 384, 8_192
+#: Entries of a score matrix held at once.
+SCORES_AT_ONCE = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -21,8 +24,13 @@ class Lists:
     blocks: np.ndarray  # expected number of blocks of each list
 
     def nearest(self, u: np.ndarray, n: int = 1) -> np.ndarray:
-        score = u @ self.centres.T
+        """The n nearest lists of every row, nearest first."""
         n = min(n, len(self.centres))
+        step = max(1, SCORES_AT_ONCE // len(self.centres))
+        return np.concatenate([self._nearest(u[low : low + step], n) for low in range(0, len(u), step)]) if len(u) else np.zeros((0, n), np.int64)
+
+    def _nearest(self, u: np.ndarray, n: int) -> np.ndarray:
+        score = u @ self.centres.T
         if n == 1:
             return np.argmax(score, axis=1)[:, None]
         part = np.argpartition(-score, n - 1, axis=1)[:, :n]
@@ -39,11 +47,15 @@ def fit(rows: DataFrame, dim: int, seed: int = 5, sample_rows: int = SAMPLE_ROWS
     """Centres for `rows` (idx long, vec array<double>, usable). Only this fit reads a sample; the rows in it are chosen by a
     hash of idx, so the same table gives the same centres."""
     count = rows.count()
+    wanted = min(MOST_LISTS, math.ceil(count / rows_per_list))
+    sample_rows = max(sample_rows, 2 * wanted)
+    if wanted > 2_048:
+        turns = 1  # with so many, rows of the sample are good centres as they are
     share = min(1.0, sample_rows / max(count, 1))
     sample = rows if share == 1 else rows.filter(F.pmod(F.xxhash64("idx", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
     table = sample.select("idx", "vec").limit(int(sample_rows * 1.2)).toArrow().sort_by("idx")
     x = unit(list_matrix(table.column(1), dim)).astype(np.float32) if table.num_rows else np.zeros((0, dim), np.float32)
-    k = max(1, min(MOST_LISTS, math.ceil(count / rows_per_list), len(x)))
+    k = max(1, min(wanted, len(x)))
     if len(x) == 0:
         return Lists(np.eye(1, dim), np.ones(1, np.int64))
     rng = np.random.default_rng(seed)
@@ -51,11 +63,11 @@ def fit(rows: DataFrame, dim: int, seed: int = 5, sample_rows: int = SAMPLE_ROWS
     first = np.unique(np.round(x, 3), axis=0, return_index=True)[1]
     c = x[rng.permutation(np.sort(first))[:k]]
     for _ in range(turns):
-        near = np.argmax(x @ c.T, axis=1)
+        near = Lists(c, np.ones(1)).nearest(x)[:, 0]
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norms > 1e-6, sums / np.maximum(norms, 1e-6), c)
     c = c.astype(np.float64)
-    held = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    held = np.bincount(Lists(c, np.ones(1)).nearest(x)[:, 0], minlength=len(c))
     return Lists(c, np.maximum(1, np.ceil(held / len(x) * count / BLOCK)).astype(np.int64))
