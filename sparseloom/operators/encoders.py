@@ -20,13 +20,10 @@ from pyspark.sql import functions as F
 from ..functions import topk, vec
 
 METHODS = ("hebbian", "projection", "sign")
-#: Other names that are accepted, in lower case.
-_ALIASES = {"biohash": "hebbian", "flyhash": "projection", "naivebiohash": "sign"}
 
 
 def parse_method(name: str) -> str:
     low = name.strip().lower()
-    low = _ALIASES.get(low, low)
     if low not in METHODS:
         raise ValueError(f"unknown method {name!r}; expected one of {', '.join(METHODS)}")
     return low

@@ -115,3 +115,9 @@ def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
     """qid, rho: the correlation of two rankings of the same documents."""
     met = a.select("qid", "did", F.col("rank").cast("double").alias("ra")).join(b.select("qid", "did", F.col("rank").cast("double").alias("rb")), ["qid", "did"])
     return met.groupBy("qid").agg(F.corr("ra", "rb").alias("rho"))
+
+
+def diagnostic(dense: DataFrame, coded: DataFrame) -> DataFrame:
+    """qid, did, dense_rank, code_rank: two rankings side by side; null where one does not have the document."""
+    a = dense.select("qid", "did", F.col("rank").alias("dense_rank"))
+    return a.join(coded.select("qid", "did", F.col("rank").alias("code_rank")), ["qid", "did"], "full")

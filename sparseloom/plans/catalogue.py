@@ -416,6 +416,38 @@ def spearman(spark, d):
     return metrics.spearman(rename(hamming_rank_all(spark, d)), rename(retrieval.cosine_top_r(e.filter(is_query()), e, e.count()))).withColumn("rho", F.round("rho", 6))
 
 
+_VALID = "vec IS NOT NULL AND len(vec) = 64 AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+
+@query(f"""WITH c AS (SELECT DISTINCT idx, id, vec FROM corpus WHERE {_VALID}), q AS (SELECT DISTINCT idx, id, vec FROM queries WHERE {_VALID}),
+h AS (SELECT q.id AS qid, c.id AS did, row_number() OVER (PARTITION BY q.idx ORDER BY round(list_cosine_similarity(q.vec, c.vec), 12) DESC, c.idx) AS rank FROM q, c QUALIFY rank <= 100),
+j AS (SELECT query_id AS qid, corpus_id AS did, max(score) AS score FROM qrels WHERE score > 0 GROUP BY ALL),
+g AS (SELECT j.qid, sum(CASE WHEN h.rank <= 10 THEN j.score / log2(h.rank + 1) END) AS dcg, count(h.did) FILTER (h.rank <= 10) AS f10, count(h.did) AS f100, count(*) AS relevant FROM j LEFT JOIN h USING (qid, did) GROUP BY j.qid),
+i AS (SELECT qid, sum(score / log2(n + 1)) AS ideal FROM (SELECT qid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS n FROM j) WHERE n <= 10 GROUP BY qid),
+p AS (SELECT qid, sum(found / rank::DOUBLE) AS p FROM (SELECT qid, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS found FROM h JOIN j USING (qid, did)) GROUP BY qid)
+SELECT round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg_10, round(avg(coalesce(p, 0) / relevant), 6) AS map_100, round(sum(f10) / sum(relevant), 6) AS recall_10, round(sum(f100) / sum(relevant), 6) AS recall_100
+FROM g JOIN i USING (qid) LEFT JOIN p USING (qid)""")
+def dense_metric_set(spark, d):
+    """The dense baseline of the passages: cosine top 100 of every query, judged by the graded qrels."""
+
+    def rows(table):
+        t = spark.read.parquet(f"{d}/{table}.parquet").select("idx", "id", "vec")
+        return t.filter(F.coalesce((F.size("vec") == D) & vec.is_finite("vec"), F.lit(False))).distinct()
+
+    q, c = rows("queries"), rows("corpus")
+    hits = retrieval.cosine_top_r(q, c, 100).select("qidx", "idx", "rank")
+    named = hits.join(q.select(F.col("idx").alias("qidx"), F.col("id").alias("qid")), "qidx").join(c.select("idx", F.col("id").alias("did")), "idx")
+    judged = spark.read.parquet(f"{d}/qrels.parquet").select(F.col("query_id").alias("qid"), F.col("corpus_id").alias("did"), "score")
+    m = metrics.metric_set(named.select("qid", "did", "rank"), judged)
+    return m.select(*(F.round(x, 6).alias(x) for x in m.columns))
+
+
+@query(f"""WITH {_E}, {_codes()}, {_ranked()}, {_COS} SELECT coalesce(r.qidx, cr.qidx) AS qid, coalesce(r.idx, cr.idx) AS did, cr.rank AS dense_rank, r.rank AS code_rank FROM r FULL JOIN cr ON r.qidx = cr.qidx AND r.idx = cr.idx""")
+def ranking_diagnostic(spark, d):
+    dense = cosine_topr(spark, d).select(F.col("qidx").alias("qid"), F.col("idx").alias("did"), "rank")
+    return metrics.diagnostic(dense, _ranking(spark, d))
+
+
 # ---- segments: idx % 3, each with weights of its own
 
 _SEGMENTS = 3

@@ -41,6 +41,9 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("collection")
     s.add_argument("data")
     add("eval-synthetic-text", 8, 0.01, 3, normalize=True)
+    e = sub.add_parser("embed")
+    e.add_argument("text")
+    e.add_argument("--dim", type=int, default=384)
     for name in ("train-text", "query-text", "search-text"):
         s = add(name, 32, 0.01, 3, normalize=True, r=100)
         s.add_argument("dataset", nargs="?", default="scifact")
@@ -56,6 +59,9 @@ def _config(a, dataset: str) -> jobs.EvalConfig:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, ask=input, out=print) -> int:
     a = parser().parse_args(argv)
+    if a.command == "embed":
+        out(" ".join(f"{v:.8g}" for v in hashed_bag_of_words([a.text], a.dim)[0]))
+        return 0
     spark = spark or SparkSession.builder.getOrCreate()
     try:
         if a.command in ("eval-mnist", "eval-fashion", "sweep-mnist"):
