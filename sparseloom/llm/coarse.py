@@ -43,10 +43,11 @@ def block_of(idx: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(33)) % blocks.astype(np.uint64)).astype(np.int32)
 
 
-def fit(rows: DataFrame, dim: int, seed: int = 5, sample_rows: int = SAMPLE_ROWS, rows_per_list: int = ROWS_PER_LIST, turns: int = 6) -> Lists:
+def fit(rows: DataFrame, dim: int, seed: int = 5, sample_rows: int = SAMPLE_ROWS, rows_per_list: int = ROWS_PER_LIST, turns: int = 6, count: int | None = None) -> Lists:
     """Centres for `rows` (idx long, vec array<double>, usable). Only this fit reads a sample; the rows in it are chosen by a
-    hash of idx, so the same table gives the same centres."""
-    count = rows.count()
+    hash of idx, so the same table gives the same centres. `count`: about how many rows there are, where that is known without reading them."""
+    if count is None:
+        count = rows.count()
     wanted = min(MOST_LISTS, math.ceil(count / rows_per_list))
     sample_rows = max(sample_rows, 2 * wanted)
     if wanted > 2_048:

@@ -39,7 +39,7 @@ def brute(q, c, k):
 @pytest.mark.parametrize("rows_per_list", [384, 40])
 def test_nearest_vectors_recall(spark, monkeypatch, rows_per_list):
     monkeypatch.setattr(coarse, "BLOCK", 50)  # long lists are cut into blocks
-    monkeypatch.setattr(nearest, "fit", lambda rows, dim: coarse.fit(rows, dim, rows_per_list=rows_per_list))
+    monkeypatch.setattr(nearest, "fit", lambda rows, dim, **kw: coarse.fit(rows, dim, rows_per_list=rows_per_list, **kw))
     c, _ = clustered(0, [200, 5, 8, 30, 60, 1, 1, 90, 12, 40])
     q = c[::9] * 3 + 0.001
     got = nearest.nearest_vectors(frame(spark, enumerate(q)), frame(spark, enumerate(c)), 5).collect()
@@ -112,7 +112,7 @@ def test_nearest_codes_empty(spark):
 
 def test_clusters_are_the_groups(spark, monkeypatch):
     monkeypatch.setattr(coarse, "BLOCK", 40)
-    monkeypatch.setattr(spectral, "fit", lambda rows, dim: coarse.fit(rows, dim, rows_per_list=60))
+    monkeypatch.setattr(spectral, "fit", lambda rows, dim, **kw: coarse.fit(rows, dim, **(kw | {"rows_per_list": 60})))
     x, group = clustered(2, [150, 3, 4, 1, 1, 30, 7, 2], noise=0.015)
     rows = [(i, v * (1 + i % 3)) for i, v in enumerate(x)]
     out = spectral.spectral_clusters(frame(spark, rows + rows[:4] + [(1000 + i, b) for i, b in enumerate(BAD)] + [(None, x[0])])).collect()
