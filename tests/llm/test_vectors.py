@@ -134,6 +134,17 @@ def test_a_chain_is_no_group(spark):
     assert len(out) == 5 and not any(r.tight and r.isolated for r in out)
 
 
+def test_a_wide_group_stays_whole(spark):
+    rng = np.random.default_rng(3)
+    centre = unit(rng.standard_normal(64))
+    aside = rng.standard_normal((200, 64))
+    x = unit(centre + 0.385 * unit(aside - np.outer(aside @ centre, centre)))
+    s = x @ x.T
+    assert s.min() >= 0.80 and 0.86 < s.mean() < 0.88  # nearly every record is a leader
+    out = spectral.spectral_clusters(frame(spark, list(enumerate(x)))).collect()
+    assert {(r.idx, r.cluster, r.size, r.tight, r.isolated) for r in out} == {(i, 0, 200, True, True) for i in range(200)}
+
+
 def test_clusters_of_copies_and_of_nothing(spark):
     out = spectral.spectral_clusters(frame(spark, [(i, np.ones(64)) for i in (7, 3, 5)])).collect()
     assert {(r.idx, r.cluster, r.size, r.tight) for r in out} == {(i, 3, 3, True) for i in (7, 3, 5)}
