@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +26,15 @@ from .common import DIM, checkpoint, list_array, list_matrix, rotation, unit, us
 
 K, PROBES, EPSILON, COLUMNS = 5, 8, 2.1, 16
 PAIRS_AT_ONCE = 2_000_000
+#: Queries of one broadcast.
+QUERIES_AT_ONCE = 4_096
 
 
-def adaptive_scan(q: np.ndarray, c: np.ndarray, k: int, epsilon: float = EPSILON, columns: int = COLUMNS, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+def adaptive_scan(q: np.ndarray, c: np.ndarray, k: int, epsilon: float = EPSILON, columns: int = COLUMNS, stats: dict | None = None, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query row, candidate row) of at least the k candidates nearest to every query, by squared distance; both rotated.
 
-    Candidates of which the test is `epsilon` sure that they are further than the k-th best so far are not among them."""
+    Candidates of which the test is `epsilon` sure that they are further than the k-th best so far are not among them. `most`:
+    the squared distance of every query's k-th best among other vectors; then only candidates no further than it are given."""
     n, dim = c.shape
     if n <= k:
         return np.repeat(np.arange(len(q)), n), np.tile(np.arange(n), len(q))
@@ -42,8 +46,12 @@ def adaptive_scan(q: np.ndarray, c: np.ndarray, k: int, epsilon: float = EPSILON
         part_q = q[low : low + step]
         q1 = part_q[:, :columns]
         partial = np.maximum((q1**2).sum(1)[:, None] + c1_sq[None, :] - 2 * (q1 @ c1.T), 0)
-        seeds = np.argpartition(partial, k - 1, axis=1)[:, :k]
-        limit = ((part_q[:, None, :] - c[seeds]) ** 2).sum(2).max(1) * (1 + 1e-9) + 1e-12
+        if most is None:
+            seeds = np.argpartition(partial, k - 1, axis=1)[:, :k]
+            limit = ((part_q[:, None, :] - c[seeds]) ** 2).sum(2).max(1) * (1 + 1e-9) + 1e-12
+        else:
+            seeds = np.zeros((len(part_q), 0), np.int64)
+            limit = most[low : low + step] * (1 + 1e-9) + 1e-11
         factor = min(1.0, columns / dim * (1 + epsilon / np.sqrt(columns)) ** 2)
         a, b = np.nonzero(partial <= (limit * factor)[:, None])
         left = partial[a, b]
@@ -57,7 +65,7 @@ def adaptive_scan(q: np.ndarray, c: np.ndarray, k: int, epsilon: float = EPSILON
             stays = left <= limit[a] * factor
             a, b, left = a[stays], b[stays], left[stays]
         # the seeds may have failed the test themselves: they are candidates all the same
-        a = np.concatenate([a, np.repeat(np.arange(len(part_q)), k)])
+        a = np.concatenate([a, np.repeat(np.arange(len(part_q)), seeds.shape[1])])
         b = np.concatenate([b, seeds.ravel()])
         out_q.append(a + low)
         out_c.append(b)
@@ -112,8 +120,9 @@ def _scan_lists(k: int, dim: int, epsilon: float):
         qi, ci = queries.column("idx").to_numpy(), corpus.column("idx").to_numpy()
         ci, first = np.unique(ci, return_index=True)
         q, c = list_matrix(queries.column("u"), dim), list_matrix(corpus.column("u"), dim)[first]
-        a, b = adaptive_scan(q @ turn, c @ turn, k, epsilon)
-        keep_a, keep_b, keep_s = [], [], []
+        most = 2 - 2 * queries.column("least").to_numpy() if "least" in queries.column_names else None
+        a, b = adaptive_scan(q @ turn, c @ turn, k, epsilon, most=most)
+        keep_a, keep_b, keep_s = [a[:0]], [ci[:0]], [np.zeros(0)]
         for low in range(0, len(a), PAIRS_AT_ONCE):
             s = slice(low, low + PAIRS_AT_ONCE)
             # copies of a vector, or the same direction at another length, are equal to 12 places
@@ -127,16 +136,54 @@ def _scan_lists(k: int, dim: int, epsilon: float):
     return run
 
 
+def _scan_whole(queries: Broadcast, k: int, dim: int, epsilon: float):
+    """Every batch of the corpus against all `queries` (idx, u, and `least`, the cosine of the k-th best of the probed lists)."""
+    scan = _scan_lists(k, dim, epsilon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx, rest = batch.column(0).to_numpy(zero_copy_only=False), np.arange(batch.num_rows)
+            # an idx with several rows: one of them at a time, as an idx counts once among a query's best
+            while len(rest):
+                first = np.unique(idx[rest], return_index=True)[1]
+                rows, rest = rest[first], np.delete(rest, first)
+                u = unit(list_matrix(batch.column(1).take(pa.array(rows)), dim))
+                yield from scan(queries.value, pa.table([pa.array(idx[rows]), list_array(u)], names=["idx", "u"])).to_batches()
+
+    return run
+
+
+def _beyond(near: DataFrame, q: DataFrame, c: DataFrame, k: int, dim: int, epsilon: float) -> DataFrame:
+    """query_idx, idx, cosine of all corpus vectors that may be among a query's k best, given what the probed lists have
+    (`near`). Queries are broadcast in chunks by a hash; the corpus is not moved, and only what is good enough leaves a task."""
+    spark = q.sparkSession
+    least = near.groupBy("query_idx").agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).otherwise(-1.0).alias("least"))
+    asked = q.distinct().join(least.withColumnRenamed("query_idx", "idx"), "idx", "left")
+    asked = checkpoint(asked.select("idx", "vec", F.coalesce("least", F.lit(-1.0)).alias("least")))
+    parts = -(-asked.count() // QUERIES_AT_ONCE)
+    out = near
+    for part in range(parts):
+        some = asked.filter(F.pmod(F.xxhash64("idx", "vec"), F.lit(parts)) == part).toArrow().combine_chunks()
+        if not some.num_rows:
+            continue
+        u = list_array(unit(list_matrix(some.column("vec"), dim)))
+        shared = spark.sparkContext.broadcast(pa.table([some.column("idx"), u, some.column("least")], names=["idx", "u", "least"]))
+        out = out.unionByName(c.mapInArrow(_scan_whole(shared, k, dim, epsilon), "query_idx long, idx long, cosine double"))
+    return out.groupBy("query_idx", "idx").agg(F.max("cosine").alias("cosine"))
+
+
 def _rows(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
     return df.filter(usable_vector(vec, dim) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("idx"), F.col(vec).cast("array<double>").alias("vec"))
 
 
-def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int = K, key: str = "idx", vec: str = "vec", dim: int = DIM, probes: int = PROBES, epsilon: float = EPSILON) -> DataFrame:
+def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int = K, key: str = "idx", vec: str = "vec", dim: int = DIM, probes: int = PROBES, epsilon: float = EPSILON, whole: bool = False) -> DataFrame:
     """The `k` corpus vectors of the highest cosine for every query: query_idx, idx, cosine, rank (from 1).
 
     Null keys and null, wrongly long, non-finite and zero vectors take no part; rows with the same idx count once; equal
     cosines (to 12 places) go to the smaller idx. A query finds itself if it is in the corpus. A corpus of fewer than `k`
-    vectors gives what its probed lists have. The centres are fitted on a bounded sample (see `coarse`); every row is indexed.
+    vectors gives what its probed lists have. The share of the corpus in the probed lists falls with its size; with `whole`
+    the rest is scanned as well, for queries whose neighbours lie scattered: each query meets every corpus vector's first
+    columns, at least. The centres are fitted on a bounded sample (see `coarse`); every row is indexed.
     """
     q, c = _rows(queries, key, vec, dim), _rows(corpus, key, vec, dim)
     lists = fit(c, dim, count=corpus.count())
@@ -146,6 +193,9 @@ def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int = K, key: str
     met = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInArrow(_scan_lists(k, dim, epsilon), "query_idx long, idx long, cosine double")
     once = met.groupBy("query_idx", "idx").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("query_idx").orderBy(F.desc("cosine"), "idx")
+    if whole:
+        near = checkpoint(once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"))
+        once = _beyond(near, q, c, k, dim, epsilon)
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

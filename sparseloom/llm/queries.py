@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_passages(spark: SparkSession, d: str) -> DataFrame:
     """Passages whose idx is divisible by 50 against all passages; the passage itself is among its own."""
     corpus = read(spark, d, "corpus")
-    return nearest.nearest_vectors(corpus.filter("idx % 50 = 0"), corpus, 6)
+    return nearest.nearest_vectors(corpus.filter("idx % 50 = 0"), corpus, 6, whole=True)
 
 
 def p3_token_budget(spark: SparkSession, d: str) -> DataFrame:

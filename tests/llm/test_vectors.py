@@ -50,6 +50,23 @@ def test_nearest_vectors_recall(spark, monkeypatch, rows_per_list):
     assert hits / (5 * len(q)) >= 0.95 and len(got) == 5 * len(q)
 
 
+@pytest.mark.parametrize("queries_at_once", [4096, 20])
+def test_scattered_neighbours_are_found_in_the_whole_corpus(spark, monkeypatch, tmp_path, queries_at_once):
+    from sparseloom.llm import queries
+
+    monkeypatch.setattr(nearest, "QUERIES_AT_ONCE", queries_at_once)
+    monkeypatch.setattr(nearest, "fit", lambda rows, dim, **kw: coarse.fit(rows, dim, rows_per_list=20, **kw))
+    c = np.random.default_rng(4).standard_normal((2500, 64))  # no groups: the best lie in any list
+    rows = list(enumerate(c))
+    frame(spark, rows + rows[:60] + [(3000 + i, b) for i, b in enumerate(BAD)]).write.parquet(f"{tmp_path}/corpus.parquet")
+    found = {}
+    for r in queries.p2_passages(spark, str(tmp_path)).orderBy("query_idx", "rank").collect():
+        found.setdefault(r.query_idx, []).append(r.idx)
+    expected = brute(c[::50], c, 6)
+    hits = sum(len(set(found[50 * i]) & set(b)) for i, b in enumerate(expected))
+    assert hits / (6 * len(expected)) >= 0.98 and all(len(f) == 6 for f in found.values())
+
+
 def test_nearest_ties_repeats_and_bad_rows(spark):
     v = np.eye(64)
     corpus = [(9, v[0]), (3, v[0] * 2), (5, v[0]), (5, v[0]), (1, v[1]), (None, v[0])] + [(100 + i, b) for i, b in enumerate(BAD)]
