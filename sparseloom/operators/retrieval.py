@@ -156,7 +156,7 @@ def _dense_top_r(queries, corpus, r, query_key, key, vec_col, exclude_self, metr
     spark = queries.sparkSession
     q = queries.filter(F.col(vec_col).isNotNull()).select(F.col(query_key).cast("long").alias("qidx"), vec.as_double(vec_col).alias("qvec"))
     c = corpus.filter(F.col(vec_col).isNotNull()).select(F.col(key).cast("long").alias("idx"), vec.as_double(vec_col).alias("vec"))
-    schema = "qidx long, idx long, score double"
+    schema = "qidx long, idx long, score double, tied double"
     out = None
     for ids, column in _chunks(q) if r else ():
         dim = len(column[0])
@@ -177,23 +177,32 @@ def _dense_top_r(queries, corpus, r, query_key, key, vec_col, exclude_self, metr
                 for low in range(0, len(q_ids), step):
                     part = qs[low : low + step]
                     s = part @ x.T
-                    # some more than r by the product, then exactly: products differ in the last places
-                    rough = -s if metric == "cosine" else (part**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * s
+                    # all that may be among the r best by the product, then exactly: products differ in the last places
+                    size = 1.0 if metric == "cosine" else (part**2).sum(1)[:, None] + (x**2).sum(1)[None, :]
+                    rough = -s if metric == "cosine" else size - 2 * s
                     if exclude_self:
                         rough = np.where(q_ids[low : low + step, None] == idx[None, :], np.inf, rough)
-                    best = best_rows(rough, min(len(idx), r + 16))
-                    a = np.repeat(np.arange(len(part)), best.shape[1])
-                    b = best.ravel()
+                    if r < len(idx):
+                        slack = 2e-12 + 4 * x.shape[1] * np.finfo(np.float64).eps * np.max(size, axis=None if metric == "cosine" else 1)
+                        a, b = np.nonzero(~(rough > (np.partition(rough, r - 1, axis=1)[:, r - 1] + slack)[:, None]))
+                    else:
+                        a, b = np.repeat(np.arange(len(part)), len(idx)), np.tile(np.arange(len(idx)), len(part))
                     if exclude_self:
                         keep = q_ids[low + a] != idx[b]
                         a, b = a[keep], b[keep]
-                    exact = (part[a] * x[b]).sum(1) if metric == "cosine" else ((part[a] - x[b]) ** 2).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[low + a]), pa.array(idx[b]), pa.array(exact)], names=["qidx", "idx", "score"])
+                    exact = np.empty(len(a))
+                    for at in range(0, len(a), pairs := max(1, 8_000_000 // x.shape[1])):
+                        left, right = part[a[at : at + pairs]], x[b[at : at + pairs]]
+                        exact[at : at + pairs] = (left * right).sum(1) if metric == "cosine" else ((left - right) ** 2).sum(1)
+                    # equal to 12 places is equal: sums in another order differ beyond. Rows are in the order of idx
+                    tied = np.round(exact, 12)
+                    order = np.lexsort((b, -tied if metric == "cosine" else tied, a))
+                    first = np.searchsorted(a[order], np.arange(len(part)))
+                    best = order[np.arange(len(a)) - first[a[order]] < r]
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[low + a[best]]), pa.array(idx[b[best]]), pa.array(exact[best]), pa.array(tied[best])], names=["qidx", "idx", "score", "tied"])
 
         part = c.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], schema)
-    # equal to 12 places is equal: sums in another order differ beyond
-    tied = F.round("score", 12)
-    return _ranked(out, [F.desc(tied) if metric == "cosine" else tied, F.col("idx")], r)
+    return _ranked(out, [F.desc("tied") if metric == "cosine" else F.col("tied"), F.col("idx")], r).drop("tied")

@@ -65,6 +65,18 @@ def test_dense(spark):
     assert near[3] == 7 and near[7] == 3
 
 
+def test_dense_with_many_copies(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.tile(rng.standard_normal(24), (1000, 1)), rng.standard_normal((2000, 24))])
+    ids = rng.permutation(3000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "idx long, vec array<double>").coalesce(1)
+    copies = np.sort(ids[:1000]).tolist()
+    q = df.filter(F.col("idx") == copies[500])
+    for top_r in (retrieval.cosine_top_r, retrieval.l2_top_r):
+        assert [r.idx for r in top_r(q, df, 10).orderBy("rank").collect()] == copies[:10]
+        assert [r.idx for r in top_r(q, df, 600, exclude_self=True).orderBy("rank").collect()] == copies[:500] + copies[501:601]
+
+
 def ranking(spark, lists):
     return spark.createDataFrame([(q, d, i + 1) for q, ds in lists.items() for i, d in enumerate(ds)], "qid string, did string, rank int")
 
