@@ -46,6 +46,9 @@ CHAINS = (
 )
 
 _space = re.compile(r"[ \t\n\r]+")
+_c1 = re.compile("[\x80-\x9f]")
+#: Control characters that no restored text has; a step on the way to it may have them.
+_control = re.compile("[\x82-\x9f]")
 _edges = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -58,7 +61,8 @@ def words_of(text: str | None) -> list[str]:
 
 @lru_cache(maxsize=200_000)
 def decoded(word: str, written: str, read: str) -> str | None:
-    """`word` read again as it was written; None if that cannot be, changes nothing or gives characters no text has."""
+    """`word` read again as it was written; None if that cannot be, changes nothing or gives characters no text has. UTF-8 may
+    give C1 controls, which stand for bytes of text garbled before: they go away in a second step or the reading is wrong."""
     out = bytearray()
     for c in word:
         try:
@@ -72,13 +76,20 @@ def decoded(word: str, written: str, read: str) -> str | None:
         text = out.decode(written)
     except UnicodeDecodeError:
         return None
-    if text == word or any(unicodedata.category(c) in ("Cc", "Co", "Cn", "Cs") and c not in "\x80\x81" for c in text if c > "~"):
+    if text == word or any(unicodedata.category(c) in ("Cc", "Co", "Cn", "Cs") and not "\x80" <= c <= "\x9f" for c in text if c > "~"):
         return None
-    if written != "utf-8" and any("\x80" <= c <= "\x9f" for c in text):
+    if written != "utf-8" and _c1.search(text):
         return None
     return text
 
 
+def again(text: str) -> Iterator[str]:
+    """What `text`, itself decoded as UTF-8, can be if UTF-8 was read wrongly twice."""
+    for written, read in CHAINS:
+        if written == "utf-8" and (other := decoded(text, written, read)) is not None and plausible(other, text) and not _control.search(other):
+            yield other
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     words: dict[str, list[str]]  # by language, in order of falling frequency
@@ -93,11 +104,11 @@ def clean_vocabulary(counts: dict[str, dict[str, int]]) -> Vocabulary:
     unsure: set[str] = set()
 
     def garbled(word: str) -> bool:
-        if LOST in word:
+        if LOST in word or _c1.search(word):
             return True
         for written, read in CHAINS:
             other = decoded(word, written, read)
-            if other is not None:
+            if other is not None and (not _control.search(other) or any(again(other))):
                 if written == "utf-8" and plausible(other, word):
                     return True
                 if total.get(other, 0) >= RATIO * total[word]:
@@ -155,19 +166,24 @@ class Restorer:
         """The doubtful words under every chain that some of them fit, with the chain's cost; UTF-8 also read wrongly twice."""
         for written, read in CHAINS:
             utf8 = written == "utf-8"
-            new = {}
+            step = {}
             for w, now in doubtful.items():
                 t = decoded(now, written, read)
                 if t is not None and (not utf8 or plausible(t, now)):
-                    new[w] = t
+                    step[w] = t
             # a letter or two alone fit too much in encodings of one byte
-            if not new or not utf8 and all(len(doubtful[w]) < 3 for w in new):
+            if not step or not utf8 and all(len(doubtful[w]) < 3 for w in step):
                 continue
-            new |= {w: t for w in unsure if (t := decoded(unsure[w], written, read)) in self.known}
-            yield new, UTF8_COST if utf8 else SINGLE_BYTE_COST
+            new = {w: t for w, t in step.items() if not _control.search(t)}
+            along = {w: t for w in unsure if (t := decoded(unsure[w], written, read)) in self.known}
+            if new:
+                new |= along
+                yield new, UTF8_COST if utf8 else SINGLE_BYTE_COST
             if utf8:
-                for _, again in (c for c in CHAINS if c[0] == "utf-8"):
-                    twice = {w: t2 for w, t in new.items() if (t2 := decoded(t, written, again)) is not None and plausible(t2, t)}
+                step |= along
+                new |= along
+                for _, second in (c for c in CHAINS if c[0] == "utf-8"):
+                    twice = {w: t2 for w, t in step.items() if (t2 := decoded(t, written, second)) is not None and plausible(t2, t) and not _control.search(t2)}
                     if twice:
                         yield new | twice, 2 * UTF8_COST
 

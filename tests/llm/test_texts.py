@@ -236,6 +236,24 @@ def test_garbled_values_are_found_and_restored(spark):
     assert out[lost, "text"].lost
 
 
+def misread(text):
+    """UTF-8 read as cp1252, bytes that it leaves undefined passed on."""
+    return "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in text.encode())
+
+
+def test_garbled_twice_over_undefined_bytes(spark):
+    clean = ["He saw the “flood” there.", "The “kot.” was near.", "Íñigo left Ýmir behind.", "В… тихий Новый запрос"]
+    rows = [(100 * i + j, None, t, "book-en", 1) for i, t in enumerate(clean) for j in range(8)]
+    garbled_once = {1000 + i: t for i, t in enumerate(clean[:3])}
+    garbled_twice = {2000 + i: t for i, t in enumerate(clean[:3])}
+    only = {3000: ("It rose,Ã¢â‚¬Â\x9d they said.", "It rose,” they said.")}  # the value's only garbled word, and frequent
+    rows += [(i, None, misread(t), "book-en", 1) for i, t in garbled_once.items()] + [(i, None, misread(misread(t)), "book-en", 1) for i, t in garbled_twice.items()]
+    rows += [(3000 + j, None, only[3000][0], "book-en", 1) for j in range(8)]
+    expected = garbled_once | garbled_twice | {3000 + j: only[3000][1] for j in range(8)}
+    out = {r.idx: r.restored for r in garble.restored_values(corpus(spark, rows), books(spark, [("book-en", "t", "en", "d")])).collect()}
+    assert out == expected
+
+
 def test_garbled_empty(spark):
     assert garble.restored_values(corpus(spark, []), books(spark, [])).count() == 0
     one = corpus(spark, [(1, "CafÃ©", None, None, None)])
