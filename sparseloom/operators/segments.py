@@ -191,7 +191,7 @@ class SegmentedIndex:
 
     def consolidate(self, vectors: DataFrame) -> Manifest:
         """All ids, in the order of segments, encoded by the newest encoder into one segment; no training. vectors: id, vec, one
-        for every id of the index."""
+        for every id of the index (of several the least, entry by entry)."""
         m = self.manifest()
         if m.method == "projection":
             raise ValueError("random projections are not consolidated")
@@ -202,7 +202,7 @@ class SegmentedIndex:
             start += s.items
         offset = F.element_at(F.create_map(*(F.lit(x) for pair in starts for x in pair)), F.col("segment_id"))
         ids = self.codes().select((F.col("idx") + offset).alias("idx"), "id")
-        v = vectors.select(F.col("id").cast("string").alias("id"), "vec").groupBy("id").agg(F.first("vec").alias("vec"))
+        v = vectors.select(F.col("id").cast("string").alias("id"), "vec").groupBy("id").agg(F.min("vec").alias("vec"))
         if not ids.join(v, "id", "left_anti").isEmpty():
             raise ValueError("an id of the index has no vector")
         encoder = self.encoder(last)

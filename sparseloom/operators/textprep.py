@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as text_fn
+from ..session import checkpoint
 
 
 def clean_documents(docs: DataFrame, kind: str | None = None, narrative_only: bool = False) -> DataFrame:
@@ -42,16 +43,20 @@ def distinct_questions(rows: DataFrame, order: str, most: int | None = None, pre
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """`n` from 0 in a global order, without one task for all rows: a range sort, rows counted per partition, then offsets."""
-    sorted_rows = df.orderBy(*order).withColumn("__p", F.spark_partition_id())
-    counts = {r["__p"]: r["count"] for r in sorted_rows.groupBy("__p").count().collect()}  # one row per partition
+    """`n` from 0 in a global order, without one task for all rows: a range sort, then offsets from the rows of each partition.
+
+    Where a row lies is written down with it before the partitions are counted: sorted anew, from other samples or coalesced
+    in another way, it might lie elsewhere."""
+    where = F.monotonically_increasing_id()  # partition number and row number in it
+    placed = checkpoint(df.orderBy(*order).withColumn("__at", where))
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["p"]: r["count"] for r in placed.groupBy(part.alias("p")).count().collect()}  # one row per partition
     start, offsets = 0, []
     for p in range(max(counts, default=-1) + 1):
         offsets.append(start)
         start += counts.get(p, 0)
-    base = F.get(F.array(*(F.lit(o).cast("long") for o in offsets)), F.col("__p")) if offsets else F.lit(0).cast("long")
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return sorted_rows.withColumn("n", base + within - 1).drop("__p")
+    base = F.get(F.array(*(F.lit(o).cast("long") for o in offsets)), part.cast("int")) if offsets else F.lit(0).cast("long")
+    return placed.withColumn("n", base + row).drop("__at")
 
 
 def corpus_rows(docs: DataFrame, key: str = "doc_id", least: int = 250, most: int = 350, max_per_corpus: int | None = None, separator: str = "paragraph") -> DataFrame:

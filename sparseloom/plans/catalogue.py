@@ -6,7 +6,6 @@ Vectors come from `embeddings`; the queries of retrieval are the rows whose vec_
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from ..operators import metrics, retrieval, splits, textprep
 from ..operators.encoders import Encoder, HebbianConfig, ProjectionConfig, SignConfig, encode, score_rows
 from ..operators.segments import SegmentedIndex, merge_candidates, segment_candidates
 from ..operators.trainer import train_more, weights_frame
+from ..session import checkpoint, remove, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -512,9 +512,15 @@ def compression_report(spark, d):
 
 
 def _index(spark, name: str) -> SegmentedIndex:
-    """An index in the shared folder of the session; a temporary one where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return SegmentedIndex(spark, f"{root}/sparseloom-index/{name}-{uuid.uuid4().hex}")
+    """An index in the shared folder of the session."""
+    return SegmentedIndex(spark, f"{shared_folder(spark)}/sparseloom-index/{name}-{uuid.uuid4().hex}")
+
+
+def _kept(index: SegmentedIndex, rows: DataFrame) -> DataFrame:
+    """`rows`, written down, so that the index they come from can go."""
+    out = checkpoint(rows)
+    remove(index.spark, index.path)
+    return out
 
 
 def _items(spark, d):
@@ -532,14 +538,14 @@ def index_append(spark, d):
     index.create(_from_zero(rows.filter("idx % 3 = 0")), hebbian().config, encoder=hebbian())
     for part in (1, 2, 2):
         index.append(_from_zero(rows.filter(F.col("idx") % 3 == part)), batch_id=f"part-{part}")
-    return index.codes().select("id", "code")
+    return _kept(index, index.codes().select("id", "code"))
 
 
 @query(f"WITH {_E}, {_codes()}, {_ranked()} SELECT qidx AS query_idx, printf('v%05d', idx) AS doc_id, distance AS hamming, rank FROM r")
 def index_search(spark, d):
     rows, index = _items(spark, d), _index(spark, "search")
     index.create(rows, hebbian().config, encoder=hebbian())
-    return index.search(rows.filter(is_query()).select("idx", "vec"), R)
+    return _kept(index, index.search(rows.filter(is_query()).select("idx", "vec"), R))
 
 
 @query(_train_sql() + f"""SELECT printf('v%05d', idx) AS id, list(mu::INTEGER ORDER BY mu) AS code FROM (SELECT idx, mu, row_number() OVER (PARTITION BY idx ORDER BY list_dot_product(w.w[mu + 1], vec) DESC, mu) AS r
@@ -550,7 +556,9 @@ def index_consolidate(spark, d):
     start = hebbian(_TRAIN_M, 2, learning_rate=0.05)
     index.create(_from_zero(rows.filter("idx % 2 = 0")), start.config, encoder=start)
     index.improve(rows, shuffle=False)
-    return index.consolidate(rows.select("id", "vec")) and index.codes().select("id", "code").distinct()
+    index.consolidate(rows.select("id", "vec"))
+    # items that both segments hold are in the index twice
+    return _kept(index, index.codes().select("id", "code").distinct())
 
 
 # ---- splits and ids

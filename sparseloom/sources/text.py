@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 from dataclasses import dataclass
 
@@ -184,7 +183,3 @@ def write_text_benchmark(root: str, name: str, corpus: DataFrame, queries: DataF
     dim = corpus.select(F.size("vec")).first()
     write_properties({"dataset": name, "embeddingModel": model, "corpusSize": size, "querySize": qsize, "vectorDim": dim[0] if dim else 0}, os.path.join(d, "manifest.properties"))
 
-
-def parse_line(line: str, field: str) -> str | None:
-    value = json.loads(line).get(field)
-    return None if value is None else str(value)

@@ -35,6 +35,24 @@ def test_numbering_over_partitions(spark):
     assert textprep.numbered(df.limit(0), ["k"]).count() == 0
 
 
+def test_numbering_of_many_wide_rows(spark, tmp_path):
+    """Range bounds are sampled anew by every run and partitions coalesce by their size: numbers must not depend on either."""
+    from sparseloom.sources import text
+
+    n, before = 400_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(n).selectExpr("(id * 7919) % 400000 AS k", "repeat(md5(cast(id AS string)), 1 + cast(id % 20 AS int)) AS fat").repartition(16)
+        got = textprep.numbered(df, ["k"])
+        assert got.filter("k <> n").isEmpty() and got.select("n").distinct().count() == n and "fat" in got.columns
+        path = tmp_path / "lines.ids"
+        path.write_text("".join(f"id-{i}\n" for i in range(n)))
+        ids = text.read_ids(spark, str(path))
+        assert ids.count() == n and ids.filter("id <> concat('id-', idx)").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_documents_and_questions(spark):
     docs = spark.createDataFrame([("a", "A", "one\n\ntwo", 2), ("a", "late", "x", 3), ("b", None, "  ", 1), ("c", "Poems", "three", 4), (None, "n", "n", 0)], "doc_id string, title string, text string, ord int")
     questions = spark.createDataFrame([("a", " q? ", 1), ("a", "q?", 2), ("b", "w?", 3), ("a", "", 4), ("c", "z?", 5)], "doc_id string, question string, ord int")
