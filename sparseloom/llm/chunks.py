@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_WORDS, OVERLAP, MIN_NEW, WINDOW, LANDMARK_EVERY = 350, 40, 120, 8, 48
+#: Characters of pieces handed on at once.
+CHARACTERS_AT_ONCE = 4_000_000
 WORD = r"[^ \t\n\r]+"
 _word = re.compile(WORD)
 _blank_line = re.compile(r"\n[ \t\r]*\n|\r[ \t]*\r")
@@ -91,7 +93,7 @@ def split_oversized(df: DataFrame, key: str = "idx", text: str = "text", group:
     Every piece has at most `max_words` words, and from the second on begins with the last `overlap` words of the one before.
     Texts within the limit, null and empty ones give no rows. Words are runs of characters other than space, tab, line feed
     and carriage return; a word is never cut, however long. Rows with the same key count once: the one with the greatest
-    `version`, then the greatest text. Rows with a null key take no part. Other columns play no part.
+    `version`, then the most words, then the greatest hash of the text. Rows with a null key take no part. Other columns play no part.
     """
     if not 0 <= overlap < max_words or not 0 < min_new <= max_words - overlap:
         raise ValueError("0 <= overlap < max_words and 0 < min_new <= max_words - overlap must hold")
@@ -100,8 +102,8 @@ def split_oversized(df: DataFrame, key: str = "idx", text: str = "text", group:
     # versions are compared before long texts are selected, so that a shorter later text wins; only lengths are shuffled for it
     sized = rows.withColumn("n", word_count(F.col("t"))).filter(F.col("n") > max_words) if version is None else rows.withColumn("n", word_count(F.col("t")))
     if version is not None:
-        seen = sized.groupBy("k").agg(F.max(F.struct("v", F.xxhash64("t").alias("h"))).alias("last"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("longest"))
-        seen = seen.filter(F.col("longest") > max_words).select("k", "last")
+        seen = sized.groupBy("k").agg(F.max(F.struct("v", "n", F.xxhash64("t").alias("h"))).alias("last"), F.max("n").alias("longest"))
+        seen = seen.filter((F.col("longest") > max_words) & (F.col("last.n") > max_words)).select("k", "last")
         long = sized.filter(F.col("n") > max_words)
         sized = long.join(seen, "k").filter((F.coalesce(F.col("v"), F.lit("1900-01-01").cast("timestamp")) == F.coalesce(F.col("last.v"), F.lit("1900-01-01").cast("timestamp"))) & (F.xxhash64("t") == F.col("last.h")))
     once = sized.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("t"), F.desc_nulls_last("g")))).filter("r = 1").select("k", "g", "t")
@@ -110,15 +112,24 @@ def split_oversized(df: DataFrame, key: str = "idx", text: str = "text", group:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k", "g", "piece_no", "n_pieces", "first_word", "n_words", "piece"]
         for batch in batches:
-            source, cols = [], ([], [], [], [], [])
-            for i, t in enumerate(batch.column(2).to_pylist()):
-                made = pieces(t, max_words, overlap, min_new)
+            source, cols, held = [], ([], [], [], [], []), 0
+
+            def out() -> pa.RecordBatch:
+                at = pa.array(source, pa.int64())  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=names)  # noqa: B023
+
+            for i in range(batch.num_rows):
+                made = pieces(batch.column(2)[i].as_py(), max_words, overlap, min_new)
                 for no, (piece, first, n) in enumerate(made):
                     source.append(i)
+                    held += len(piece)
                     for c, x in zip(cols, (no, len(made), first, n, piece)):
                         c.append(x)
-            at = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int32()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=names)
+                    if held > CHARACTERS_AT_ONCE:
+                        yield out()
+                        source, cols, held = [], ([], [], [], [], []), 0
+            if source:
+                yield out()
 
     made = once.mapInArrow(cut, f"k {kind}, g string, piece_no int, n_pieces int, first_word int, n_words int, piece string")
     return made.withColumnsRenamed({"k": key, "g": group})

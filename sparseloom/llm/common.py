@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 DIM = 64
+#: Rows of a few numbers that may be broadcast.
+SMALL = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names; a temporary one only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "sparseloom-checkpoints"))
-    return df.checkpoint(eager=True)
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """`df`, written down and marked for broadcast if it has no more than `most` rows; else as it is, for a join by shuffle."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def usable_vector(vec: str | Column, dim: int = DIM) -> Column:

@@ -144,13 +144,15 @@ def pack(sizes: DataFrame, specs: DataFrame, per_partition: int = PER_PARTITION,
 def pack_report(packed: DataFrame) -> DataFrame:
     """Per spec: spec_name, capacity, containers, lower_bound, documents, cut_documents, tokens, fill (share of all room used).
 
-    The bound is that of one packing of all pieces together: the sums of the dual feasible functions add up over partitions.
+    A document counts as often as it was packed. The bound is that of one packing of all pieces together: the sums of the dual feasible functions add up over partitions.
     """
     x, c = F.col("tokens"), F.col("capacity")
-    cuts = {f"f{i}": F.sum(F.when(x > c - F.floor(c * cut), c).when(x >= F.floor(c * cut), x).otherwise(0)) / F.first(c) for i, cut in enumerate(CUTS)}
-    steps = {f"g{k}": F.sum(F.when((k + 1) * x % c == 0, k * x).otherwise(F.floor((k + 1) * x / c) * c)) / (k * F.first(c)) for k in STEPS}
-    bounds = {"f": F.sum(x) / F.first(c)} | cuts | steps
-    # per container first: its sums are small and its number is what counts
-    agg = packed.groupBy("spec_name", "capacity").agg(F.countDistinct("container").alias("containers"), F.countDistinct("doc_id").alias("documents"), F.countDistinct(F.when(F.col("piece_no") > 0, F.col("doc_id"))).alias("cut_documents"), F.sum(x).alias("tokens"), *(v.alias(k) for k, v in bounds.items()))
-    bound = F.ceil(F.greatest(*(F.col(k) for k in bounds)) - 1e-9)
-    return agg.select("spec_name", "capacity", "containers", bound.cast("long").alias("lower_bound"), "documents", "cut_documents", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill"))
+    cuts = {f"f{i}": F.sum(F.when(x > c - F.floor(c * cut), c).when(x >= F.floor(c * cut), x).otherwise(0)) for i, cut in enumerate(CUTS)}
+    steps = {f"g{k}": F.sum(F.when((k + 1) * x % c == 0, k * x).otherwise(F.floor((k + 1) * x / c) * c)) for k in STEPS}
+    sums = {"tokens": F.sum(x), "documents": F.sum((F.col("piece_no") == 0).cast("long")), "cut_documents": F.sum((F.col("piece_no") == 1).cast("long"))} | cuts | steps
+    # per container first: of those there are fewer, and each then counts once
+    boxes = packed.groupBy("spec_name", "capacity", "container").agg(*(v.alias(k) for k, v in sums.items()))
+    agg = boxes.groupBy("spec_name", "capacity").agg(F.count(F.lit(1)).alias("containers"), *(F.sum(k).alias(k) for k in sums))
+    each = [x / c, *(F.col(k) / c for k in cuts), *(F.col(f"g{k}") / (k * c) for k in STEPS)]
+    bound = F.ceil(F.greatest(*each) - 1e-9)
+    return agg.select("spec_name", "capacity", "containers", bound.cast("long").alias("lower_bound"), "documents", "cut_documents", "tokens", (x / (F.col("containers") * c)).alias("fill"))

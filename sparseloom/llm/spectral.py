@@ -20,14 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .coarse import Lists, block_of, fit
-from .common import DIM, checkpoint, list_array, list_matrix, unit, usable_vector
+from .common import DIM, checkpoint, list_array, list_matrix, small, unit, usable_vector
 
 MIN_AFFINITY, LEADER_AFFINITY, PROBES, VECTORS, TURNS, CUT, GRID, LIST_ROWS = 0.80, 0.90, 10, 4, 8, 4, 1e-5, 1024
 #: Entries of an affinity matrix held at once.
 AFFINITIES_AT_ONCE = 2_000_000
 TYPICAL = 5
-#: Rows of three numbers that may be broadcast.
-SMALL = 200_000
 
 
 def _place(lists: Lists, dim: int):
@@ -129,12 +127,6 @@ def _outer_check(least: float, dim: int):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """`df`, written down and marked for broadcast if it has no more than `SMALL` rows; else as it is, for a join by shuffle."""
-    df = checkpoint(df)
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def spectral_clusters(df: DataFrame, key: str = "idx", vec: str = "vec", dim: int = DIM, least: float = MIN_AFFINITY, vectors: int = VECTORS, turns: int = TURNS) -> DataFrame:
     """cluster (the smallest key in it), idx, affinity (mean cosine to the cluster's members, itself included), size, tight,
     isolated.
@@ -191,7 +183,7 @@ def spectral_clusters(df: DataFrame, key: str = "idx", vec: str = "vec", dim: in
     several = placed_leaders.filter("leaders > 1")
     alone = led.select("idx", "leader", "near", "to_mean").join(placed_leaders.filter("leaders = 1").select("leader", "label", "n"), "leader")
     alone = alone.select("idx", "leader", "label", "n", F.when(F.col("n") == 1, 1.0).otherwise(F.col("near")).alias("affinity"), F.when(F.col("n") == 1, 1.0).otherwise(F.col("to_mean")).alias("to_mean"))
-    some = _small(several.select("leader", "label", "n"))
+    some = small(several.select("leader", "label", "n"))
     sums = led.filter("idx = leader").select("leader", "total").join(some, "leader").groupBy("label").agg(F.array(*(F.sum(F.get("total", F.lit(i)).cast("double")) for i in range(dim))).alias("sum"))
     dot = F.aggregate(F.zip_with("u", "sum", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
     norm = F.sqrt(F.aggregate("sum", F.lit(0.0), lambda a, x: a + x * x))
@@ -204,7 +196,7 @@ def spectral_clusters(df: DataFrame, key: str = "idx", vec: str = "vec", dim: in
     second = rated.filter("n > 1").join(worst.select("label", "far_idx", "far", "first"), "label").groupBy("label").agg(F.max(F.when(F.col("idx") != F.col("far_idx"), angle)).alias("next"), F.first("far").alias("far"), F.first("first").alias("first"))
     judged = checkpoint(second.withColumn("settled", F.coalesce(F.col("far") + F.coalesce("next", F.lit(0.0)) <= limit, F.lit(False))))
     # vectors are fetched for the clusters that the angles do not settle, which are few
-    open_leaders = _small(placed_leaders.join(judged.filter("not settled").select("label"), "label").select("leader", "label", "n"))
+    open_leaders = small(placed_leaders.join(judged.filter("not settled").select("label"), "label").select("leader", "label", "n"))
     open_rows = rated.select("idx", "leader", "to_mean").join(open_leaders.select("leader"), "leader", "left_semi")
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / 8192)).cast("int")
     members = led.select("idx", "leader", "u").join(open_leaders, "leader").join(open_rows, ["idx", "leader"])

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -29,15 +29,15 @@ REMEMBERED_PIECES = 400_000
 class PairMerger:
     """Counts the tokens of pieces by repeated vectorised merges."""
 
-    def __init__(self, path: str):
+    def __init__(self, file: str | bytes):
+        """`file`: the rank file, its path or its content."""
         import regex
 
         ranks: dict[bytes, int] = {}
-        with open(path, "rb") as lines:
-            for line in lines:
-                if line.strip():
-                    token, rank = line.split()
-                    ranks[base64.b64decode(token)] = int(rank)
+        for line in (file if isinstance(file, bytes) else content(file)).splitlines():
+            if line.strip():
+                token, rank = line.split()
+                ranks[base64.b64decode(token)] = int(rank)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         keys, merged = [], []
         for token, rank in ranks.items():
@@ -95,21 +95,24 @@ class PairMerger:
         return [sum(map(known.__getitem__, pieces)) for pieces in split]
 
 
-_mergers: dict[str, PairMerger] = {}
+def content(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
-def merger(path: str) -> PairMerger:
-    if path not in _mergers:
-        _mergers[path] = PairMerger(path)
-    return _mergers[path]
+_mergers: dict[str, PairMerger] = {}
 
 
 def token_count(text, path: str = TOKENIZER):
-    """A column with the number of tokens of a text column; null and empty texts have 0."""
+    """A column with the number of tokens of a text column; null and empty texts have 0. The driver reads the rank file and
+    broadcasts it (a file of less than a megabyte), so that workers need no copy of it."""
+    shared = SparkSession.active().sparkContext.broadcast(content(path))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = merger(path)
+        if path not in _mergers:
+            _mergers[path] = PairMerger(shared.value)
+        m = _mergers[path]
         for texts in batches:
             yield pd.Series(m.count([t if isinstance(t, str) else None for t in texts]), dtype="int64")
 

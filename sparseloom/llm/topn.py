@@ -14,9 +14,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
-def _first_n(n: int):
+def _first_n(n: int, numbered: bool = False):
+    """Lets the first n distinct items of every group of rows in order pass; `numbered`, with their position (from 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, taken = None, set()
         for batch in batches:
@@ -28,6 +31,7 @@ def _first_n(n: int):
             ends = [*starts[1:], batch.num_rows]
             names = groups.take(pa.array(starts)).to_pylist()
             keep: list[int] = []
+            position: list[int] = []
             for name, start, end in zip(names, starts, ends):
                 if name != last:
                     last, taken = name, set()
@@ -37,12 +41,14 @@ def _first_n(n: int):
                         if item not in taken:
                             taken.add(item)
                             keep.append(at)
+                            position.append(len(taken))
                             if len(taken) == n:
                                 break
                         at += 1
                     step *= 4
             if keep:
-                yield batch.take(pa.array(keep))
+                kept = batch.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(position, pa.int32())], names=[*kept.schema.names, "position"]) if numbered else kept
 
     return run
 
@@ -60,11 +66,8 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 5
     s = F.col(score)
     rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), s.alias("s"))
     rows = rows.filter(F.col("g").isNotNull() & F.col("i").isNotNull() & (F.col("s") >= 0) & ~F.isnan(F.col("s").cast("double")))
-    schema, order = rows.schema, ["g", "s", "i"]
-    local = rows.sortWithinPartitions(*order).mapInArrow(_first_n(n), schema)
-    final = local.repartition("g").sortWithinPartitions(*order).mapInArrow(_first_n(n), schema)
-    # each group is in one partition here, in order, with at most n rows
-    from pyspark.sql import Window
-
-    ranked = final.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("s", "i")))
-    return ranked.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "position")
+    order = ["g", "s", "i"]
+    local = rows.sortWithinPartitions(*order).mapInArrow(_first_n(n), rows.schema)
+    # each group is in one partition here, in order, with at most n rows from every partition before
+    final = local.repartition("g").sortWithinPartitions(*order).mapInArrow(_first_n(n, True), StructType([*rows.schema.fields, StructField("position", IntegerType())]))
+    return final.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "position")
