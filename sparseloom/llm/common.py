@@ -26,8 +26,10 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
 def usable_vector(vec: str | Column, dim: int = DIM) -> Column:
     """Not null, `dim` entries, all finite, not all zero (a zero vector has no direction)."""
     v = F.col(vec) if isinstance(vec, str) else vec
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.coalesce((F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+    # array_contains gives false only where there is neither the value nor a null; no lambdas, so it stays in generated code
+    whole = ~F.array_contains(v.cast("array<double>"), F.lit(float("nan")))
+    most, least, infinite = F.array_max(v), F.array_min(v), F.lit(float("inf"))
+    return F.coalesce((F.size(v) == dim) & whole & (most < infinite) & (least > -infinite) & ((most > 0) | (least < 0)), F.lit(False))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:

@@ -131,6 +131,10 @@ WHERE position <= 5"""
 
 _VALID = "vec IS NOT NULL AND len(vec) = 64 AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND isfinite(x)))"
 
+_SPLIT = """v AS (SELECT DISTINCT idx, role, vec, list_transform(vec, lambda x: round(x / sqrt(list_sum(list_transform(vec, lambda y: y * y))), 6)) AS form FROM retrieval_split
+           WHERE role IN ('train', 'db', 'query') AND len(vec) = 64 AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND isfinite(x)))
+             AND list_sum(list_transform(vec, lambda x: abs(x))) > 0)"""
+
 SQL: dict[str, str] = {
     "p2_found": f"""
 WITH c AS (SELECT DISTINCT idx, vec FROM corpus WHERE {_VALID}), q AS (SELECT DISTINCT idx, vec FROM queries WHERE {_VALID}),
@@ -141,11 +145,14 @@ SELECT space, query_idx, corpus_idx FROM d
 QUALIFY row_number() OVER (PARTITION BY space, query_idx ORDER BY score DESC, corpus_idx) <= 5""",
     "p4_found": f"SELECT query_id, doc_id FROM ({_TOP5})",
     "p4_top_hits": _TOP5,
-    "p6_found": """
-WITH v AS (SELECT DISTINCT idx, role, vec FROM retrieval_split
-           WHERE role IN ('train', 'db', 'query') AND len(vec) = 64 AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND isfinite(x)))
-             AND list_sum(list_transform(vec, lambda x: abs(x))) > 0)
-SELECT DISTINCT least(a.idx, b.idx) AS idx_a, greatest(a.idx, b.idx) AS idx_b
+    "p6_found": f"""
+WITH {_SPLIT} SELECT DISTINCT least(a.idx, b.idx) AS idx_a, greatest(a.idx, b.idx) AS idx_b
 FROM v a JOIN v b ON a.role <> 'train' AND b.role = 'train' AND list_cosine_similarity(a.vec, b.vec) >= 0.975""",
+    "p6_overlap_report": f"""
+WITH {_SPLIT}, m AS (SELECT idx, coalesce(min(role), 'unknown') AS role, coalesce(min(lower(trim(source))), 'unknown') AS source FROM retrieval_split WHERE role IN ('db', 'query') GROUP BY idx),
+p AS (SELECT a.idx, b.idx AS t, max(a.form = b.form) AS same FROM v a JOIN v b ON a.role <> 'train' AND b.role = 'train' AND list_cosine_similarity(a.vec, b.vec) >= 0.975 GROUP BY a.idx, b.idx),
+c AS (SELECT idx, sum(same::INTEGER) AS e, sum((NOT same)::INTEGER) AS n FROM p GROUP BY idx)
+SELECT role, source, count(*) AS records, count(*) FILTER (e > 0) AS exact, count(*) FILTER (e = 0 AND n > 0) AS near, coalesce(sum(e), 0)::BIGINT AS exact_pairs, coalesce(sum(n), 0)::BIGINT AS near_pairs
+FROM m LEFT JOIN c USING (idx) GROUP BY role, source""",
     "p7_found": r"""SELECT DISTINCT idx FROM corpus WHERE len(regexp_extract_all(text, '[^ \t\n\r]+')) > 350""",
 }

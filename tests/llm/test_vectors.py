@@ -194,8 +194,39 @@ def test_overlap_of_copies_and_report(spark):
     rows = [(i, "train", "a", v[0]) for i in range(4)] + [(10 + i, "db", s, v[0] * 3) for i, s in enumerate(("b", "B ", None))] + [(20, "query", "b", v[1])]
     df = split(spark, rows)
     pairs, members = overlap.class_pairs(df, F.col("role") == "train")
-    assert [tuple(r)[:2] for r in pairs.collect()] == [(10, 0)] and members.count() == 8
+    assert [(r.eval_rep, r.train_rep, r.exact) for r in pairs.collect()] == [(10, 0, True)] and members.count() == 7
     assert overlap.cross_split_pairs(df, F.col("role") == "train").count() == 12
-    assert {tuple(r) for r in overlap.overlap_report(df, F.col("role") == "train").collect()} == {("db", "b", 2, 2, 8), ("db", "unknown", 1, 1, 4), ("query", "b", 1, 0, 0)}
+    assert {tuple(r) for r in overlap.overlap_report(df, F.col("role") == "train").collect()} == {("db", "b", 2, 2, 0, 8, 0), ("db", "unknown", 1, 1, 0, 4, 0), ("query", "b", 1, 0, 0, 0, 0)}
     none = split(spark, [])
     assert overlap.cross_split_pairs(none, F.col("role") == "train").count() == 0 and overlap.overlap_report(none, F.col("role") == "train").count() == 0
+
+
+def test_overlap_of_near_classes_and_of_an_idx_with_two_vectors(spark):
+    rng = np.random.default_rng(5)
+    base = unit(rng.standard_normal((3, 64)))
+    near = unit(base[0] + 0.02 * rng.standard_normal(64))
+    rows = [(i, "train", "a", base[0] * (1 + i)) for i in range(3)] + [(3, "train", "a", base[1]), (3, "train", "a", base[2])]
+    rows += [(10 + i, "db", "b", near * (1 + i)) for i in range(2)] + [(20, "query", "b", base[1] * 2), (21, "query", "b", base[2] * 2), (21, "query", "b", base[1])]
+    df = split(spark, rows)
+    got = {(r.eval_idx, r.train_idx, r.exact) for r in overlap.cross_split_pairs(df, F.col("role") == "train").collect()}
+    assert got == {(10 + i, j, False) for i in range(2) for j in range(3)} | {(20, 3, True), (21, 3, True)}
+    assert {tuple(r) for r in overlap.overlap_report(df, F.col("role") == "train").collect()} == {("db", "b", 2, 0, 2, 0, 6), ("query", "b", 2, 2, 0, 3, 0)}
+
+
+def test_hashes_are_enough():
+    """The share of pairs at the threshold that no hash joins."""
+    rng = np.random.default_rng(9)
+    a = unit(rng.standard_normal((4000, 64)))
+    b = rng.standard_normal(a.shape)
+    b = 0.975 * a + np.sqrt(1 - 0.975**2) * unit(b - (b * a).sum(1, keepdims=True) * a)
+    frames, hashes = overlap.hash_shape(100_000, 0.975)
+    met = np.zeros(len(a), bool)
+    for _ in range(hashes):
+        same = np.ones(len(a), bool)
+        for n in frames:
+            f = rng.standard_normal((64, n))
+            same &= overlap.nearest_axis(a @ f) == overlap.nearest_axis(b @ f)
+        met |= same
+    assert met.mean() >= 0.997
+    sketch = lambda x: overlap.sketched(x, overlap.sketch_frame(64))
+    assert (np.abs(sketch(a) - sketch(b)).sum(1) <= overlap.sketch_reach(0.975, 64)).mean() >= 0.999
