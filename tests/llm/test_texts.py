@@ -268,6 +268,29 @@ def test_garbled_twice_over_undefined_bytes(spark):
     assert out == expected
 
 
+@pytest.mark.parametrize("text", ["καλημέρα κόσμε φίλε", "tiếng Việt rất đẹp", "שלום עולם טוב", "こんにちは世界", "مرحبا بالعالم", "Türkçe öğrenmek güzel"])
+def test_other_scripts_are_restored_or_left(spark, text):
+    """UTF-8 in scripts that the rest of the corpus does not have, alone and in a language of many clean words."""
+    clean = [(i, None, s, "book-ru", 1) for i, s in enumerate(re.split(r"(?<=[.…]) ", CLEAN["ru"]) * 8)] + [(100 + i, None, s, "book-es", 1) for i, s in enumerate(re.split(r"(?<=[.…]) ", CLEAN["es"]) * 8)]
+    own = [(500 + i, None, text, "book-x", 1) for i in range(4)]
+    for rows in (clean, clean + own):
+        c = corpus(spark, rows + [(1000, None, misread(text), "book-x", 1), (1001, None, text, "book-x", 1)])
+        out = {r.idx: r.restored for r in garble.restored_values(c, books(spark, [("book-ru", "t", "ru", "d"), ("book-es", "t", "es", "d"), ("book-x", "t", "x", "d")])).collect()}
+        assert out == {1000: text}
+
+
+def test_words_that_fit_utf8_by_chance_are_left(spark):
+    rows = [(i, None, w, "book-ru", 1) for i, w in enumerate(("список так чем сад", "В саду. Г. Иванов", "IRMÃ E MANHÃ", "CAFÉ» été», Fuß", "code¹ 5\xa0kg", "µs ªº"))]
+    assert garble.restored_values(corpus(spark, rows), books(spark, [("book-ru", "t", "ru", "d")])).count() == 0
+
+
+def test_bytes_gone_astray(spark):
+    words = "à la casa de mamá, señor. El corazón está aquí."
+    rows = [(i, None, words, "book-es", 1) for i in range(9)] + [(20, None, "heartÂ here", "book-es", 1), (21, None, "voy Ã la casa", "book-es", 1), (22, None, "He said â€œnoâ€ then", "book-es", 1)]
+    out = {r.idx: r.restored for r in garble.restored_values(corpus(spark, rows), books(spark, [("book-es", "t", "es", "d")])).collect()}
+    assert out == {20: "heart here", 21: "voy à la casa", 22: "He said “no” then"}
+
+
 def test_garbled_empty(spark):
     assert garble.restored_values(corpus(spark, []), books(spark, [])).count() == 0
     one = corpus(spark, [(1, "CafÃ©", None, None, None)])
