@@ -1,10 +1,11 @@
 """Most similar vectors for every vector (problem 2).
 
 Adaptive dimension scan. Vectors are brought to unit length, rotated at random and stored in lists around coarse centres. A
-query goes to its nearest lists; within a list the distance is summed over blocks of columns, and after every block a
-hypothesis test (Gao and Long's bound for randomly rotated vectors) abandons the candidates whose partial distance is too
-large for the k-th best seen. What survives is measured in full, exactly. Long lists are cut into blocks by a hash of idx, and
-a query is sent to every block of its list, so that no task holds more than a block of either side.
+query goes to its nearest lists, so many that a sample of queries finds what the whole corpus has; within a list the distance is
+summed over blocks of columns, and after every block a hypothesis test (Gao and Long's bound for randomly rotated vectors)
+abandons the candidates whose partial distance is too large for the k-th best so far, which falls from part to part of a list.
+What survives is measured in full, exactly. Long lists are cut into blocks on both sides, each query block meeting each corpus
+block of its list, so that no task holds more than a block of either side. Queries whose lists hold fewer than k scan the whole corpus.
 
 Sparse codes have the same scan in their own space: bits are put in order of rarity, a code is stored in the lists of its
 rarest bits, shared bits are counted over blocks of columns, and a candidate is abandoned as soon as the bits that are left
@@ -18,16 +19,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .coarse import Lists, block_of, fit
+from . import coarse
+from .coarse import ONE_BLOCK, Blocks, Lists, block_of, count_blocks, fit, repeated
 from .common import DIM, checkpoint, list_array, list_matrix, rotation, unit, usable_vector
 
-K, PROBES, EPSILON, COLUMNS = 5, 8, 2.1, 16
+K, EPSILON, COLUMNS = 5, 2.1, 16
+#: Lists that every query probes at least; more, until so many of the sampled queries' true neighbours lie in them.
+PROBES, RECALL, SAMPLED_QUERIES = 8, 0.998, 256
 PAIRS_AT_ONCE = 2_000_000
-#: Queries of one broadcast.
-QUERIES_AT_ONCE = 4_096
+#: Rows of a list that are scanned before the limit falls anew.
+PART = 1_024
+#: Queries that meet a batch of the corpus at once, and the most that are broadcast for it (8.5 MB); more meet in blocks.
+QUERIES_AT_ONCE, MOST_BROADCAST = 4_096, 16_384
 
 
 def adaptive_scan(q: np.ndarray, c: np.ndarray, k: int, epsilon: float = EPSILON, columns: int = COLUMNS, stats: dict | None = None, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -39,36 +45,51 @@ def adaptive_scan(q: np.ndarray, c: np.ndarray, k: int, epsilon: float = EPSILON
     if n <= k:
         return np.repeat(np.arange(len(q)), n), np.tile(np.arange(n), len(q))
     out_q, out_c = [], []
-    step = max(1, PAIRS_AT_ONCE // n)
-    c1 = c[:, :columns]
-    c1_sq = (c1**2).sum(1)
+    step = max(1, PAIRS_AT_ONCE // min(n, PART))
+    # at least k rows in the first part, which gives the first limit
+    starts = list(range(0, n, max(PART, k)))
+    if n - starts[-1] < k and len(starts) > 1:
+        starts.pop()
     for low in range(0, len(q), step):
         part_q = q[low : low + step]
-        q1 = part_q[:, :columns]
-        partial = np.maximum((q1**2).sum(1)[:, None] + c1_sq[None, :] - 2 * (q1 @ c1.T), 0)
-        if most is None:
-            seeds = np.argpartition(partial, k - 1, axis=1)[:, :k]
-            limit = ((part_q[:, None, :] - c[seeds]) ** 2).sum(2).max(1) * (1 + 1e-9) + 1e-12
-        else:
+        q_sq = (part_q[:, :columns] ** 2).sum(1)
+        limit = None if most is None else most[low : low + step] * (1 + 1e-9) + 1e-11
+        best = None
+        for start, end in zip(starts, [*starts[1:], n]):
+            some = c[start:end]
+            partial = np.maximum(q_sq[:, None] + (some[:, :columns] ** 2).sum(1)[None, :] - 2 * (part_q[:, :columns] @ some[:, :columns].T), 0)
             seeds = np.zeros((len(part_q), 0), np.int64)
-            limit = most[low : low + step] * (1 + 1e-9) + 1e-11
-        factor = min(1.0, columns / dim * (1 + epsilon / np.sqrt(columns)) ** 2)
-        a, b = np.nonzero(partial <= (limit * factor)[:, None])
-        left = partial[a, b]
-        if stats is not None:
-            stats["pairs"] = stats.get("pairs", 0) + partial.size
-            stats["after_first"] = stats.get("after_first", 0) + len(a)
-        for done in range(columns, dim, columns):
-            left = left + ((part_q[a, done : done + columns] - c[b, done : done + columns]) ** 2).sum(1)
-            seen = min(dim, done + columns)
-            factor = min(1.0, seen / dim * (1 + epsilon / np.sqrt(seen)) ** 2) if seen < dim else 1.0
-            stays = left <= limit[a] * factor
-            a, b, left = a[stays], b[stays], left[stays]
-        # the seeds may have failed the test themselves: they are candidates all the same
-        a = np.concatenate([a, np.repeat(np.arange(len(part_q)), seeds.shape[1])])
-        b = np.concatenate([b, seeds.ravel()])
-        out_q.append(a + low)
-        out_c.append(b)
+            if limit is None:
+                seeds = np.argpartition(partial, k - 1, axis=1)[:, :k] if k < len(some) else np.tile(np.arange(len(some)), (len(part_q), 1))
+                best = np.sort(((part_q[:, None, :] - some[seeds]) ** 2).sum(2), axis=1)
+                limit = best[:, -1] * (1 + 1e-9) + 1e-12
+            factor = min(1.0, columns / dim * (1 + epsilon / np.sqrt(columns)) ** 2)
+            a, b = np.nonzero(partial <= (limit * factor)[:, None])
+            left = partial[a, b]
+            if stats is not None:
+                stats["pairs"] = stats.get("pairs", 0) + partial.size
+                stats["after_first"] = stats.get("after_first", 0) + len(a)
+            for done in range(columns, dim, columns):
+                left = left + ((part_q[a, done : done + columns] - some[b, done : done + columns]) ** 2).sum(1)
+                seen = min(dim, done + columns)
+                factor = min(1.0, seen / dim * (1 + epsilon / np.sqrt(seen)) ** 2) if seen < dim else 1.0
+                stays = left <= limit[a] * factor
+                a, b, left = a[stays], b[stays], left[stays]
+            if end < n and best is not None and len(a):
+                # the k best so far, of those before and of this part, set the limit for the next one
+                who, value = np.concatenate([np.repeat(np.arange(len(best)), best.shape[1]), a]), np.concatenate([best.ravel(), left])
+                if start == 0:
+                    who, value = a, left
+                order = np.lexsort((value, who))
+                who, value = who[order], value[order]
+                first = np.searchsorted(who, np.arange(len(best) + 1))
+                enough = np.flatnonzero(np.diff(first) >= k)
+                kth = value[first[enough] + k - 1]
+                limit[enough] = np.minimum(limit[enough], kth * (1 + 1e-9) + 1e-12)
+                best[enough] = value[first[enough][:, None] + np.arange(k)[None, :]]
+            # the seeds may have failed the test themselves: they are candidates all the same
+            out_q.append(np.concatenate([a, np.repeat(np.arange(len(part_q)), seeds.shape[1])]) + low)
+            out_c.append(np.concatenate([b, seeds.ravel()]) + start)
     return np.concatenate(out_q), np.concatenate(out_c)
 
 
@@ -85,8 +106,25 @@ def best_k(query: np.ndarray, item: np.ndarray, score: np.ndarray, k: int) -> np
     return order[rank < k]
 
 
-def _placer(lists: Lists, probes: int, dim: int, all_blocks: bool):
-    """idx, vec -> list, block, idx, unit vector; for queries a row for every probed list and block of it."""
+def _few_copies(idx: np.ndarray, u: np.ndarray, k: int) -> np.ndarray:
+    """Rows without those of which k copies of a smaller idx are there: they cannot be among the k best of any query."""
+    weights = np.random.default_rng(0).integers(1, 2**63, u.shape[1], dtype=np.uint64) | np.uint64(1)
+    h = (np.ascontiguousarray(u).view(np.uint64) * weights).sum(1, dtype=np.uint64)
+    order = np.lexsort((idx, h))
+    starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    if len(starts) == len(h):
+        return np.arange(len(h))
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(h)]))
+    # the same row delivered twice counts once
+    new = np.r_[True, (group[1:] != group[:-1]) | (idx[order][1:] != idx[order][:-1])]
+    order, group = order[new], group[new]
+    rank = np.arange(len(group)) - np.searchsorted(group, group)
+    return np.sort(order[rank < k])
+
+
+def _placer(lists: Lists, probes: int, dim: int, own: Blocks, other: Blocks, copies: int | None = None):
+    """idx, vec -> list, own_block, other_block, idx, unit vector: a row for every probed list and block of the other side in it.
+    copies: how many rows of the same vector are kept of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,18 +132,16 @@ def _placer(lists: Lists, probes: int, dim: int, all_blocks: bool):
                 continue
             idx = batch.column(0).to_numpy(zero_copy_only=False)
             u = unit(list_matrix(batch.column(1), dim))
+            if copies is not None and len(keep := _few_copies(idx, u, copies)) < len(idx):
+                idx, u = idx[keep], u[keep]
             near = lists.nearest(u, probes)
-            if all_blocks:
-                row, at = np.repeat(np.arange(len(u)), near.shape[1]), near.ravel()
-                times = lists.blocks[at]
-                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row, at = np.repeat(row, times), np.repeat(at, times)
-            else:
-                row, at = np.arange(len(u)), near[:, 0]
-                block = block_of(idx, lists.blocks[at])
+            row, at = np.repeat(np.arange(len(u)), near.shape[1]), near.ravel()
+            copy, block = repeated(other.of(at))
+            row, at = row[copy], at[copy]
+            mine = block_of(idx[row], own.of(at))
             for low in range(0, len(row), 8192):
                 s = slice(low, low + 8192)
-                yield pa.RecordBatch.from_arrays([pa.array(at[s].astype(np.int32)), pa.array(block[s].astype(np.int32)), pa.array(idx[row[s]]), list_array(u[row[s]])], names=["list", "block", "idx", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array(at[s].astype(np.int32)), pa.array(mine[s].astype(np.int32)), pa.array(block[s].astype(np.int32)), pa.array(idx[row[s]]), list_array(u[row[s]])], names=["list", "own_block", "other_block", "idx", "u"])
 
     return run
 
@@ -148,60 +184,122 @@ def _scan_whole(queries: Broadcast, k: int, dim: int, epsilon: float):
                 first = np.unique(idx[rest], return_index=True)[1]
                 rows, rest = rest[first], np.delete(rest, first)
                 u = unit(list_matrix(batch.column(1).take(pa.array(rows)), dim))
-                yield from scan(queries.value, pa.table([pa.array(idx[rows]), list_array(u)], names=["idx", "u"])).to_batches()
+                corpus = pa.table([pa.array(idx[rows]), list_array(u)], names=["idx", "u"])
+                for low in range(0, queries.value.num_rows, QUERIES_AT_ONCE):
+                    yield from scan(queries.value.slice(low, QUERIES_AT_ONCE).combine_chunks(), corpus).to_batches()
 
     return run
 
 
-def _beyond(near: DataFrame, q: DataFrame, c: DataFrame, k: int, dim: int, epsilon: float) -> DataFrame:
-    """query_idx, idx, cosine of all corpus vectors that may be among a query's k best, given what the probed lists have
-    (`near`). Queries are broadcast in chunks by a hash; the corpus is not moved, and only what is good enough leaves a task."""
-    spark = q.sparkSession
-    least = near.groupBy("query_idx").agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).otherwise(-1.0).alias("least"))
-    asked = q.distinct().join(least.withColumnRenamed("query_idx", "idx"), "idx", "left")
-    asked = checkpoint(asked.select("idx", "vec", F.coalesce("least", F.lit(-1.0)).alias("least")))
-    parts = -(-asked.count() // QUERIES_AT_ONCE)
-    out = near
-    for part in range(parts):
-        some = asked.filter(F.pmod(F.xxhash64("idx", "vec"), F.lit(parts)) == part).toArrow().combine_chunks()
-        if not some.num_rows:
-            continue
-        u = list_array(unit(list_matrix(some.column("vec"), dim)))
-        shared = spark.sparkContext.broadcast(pa.table([some.column("idx"), u, some.column("least")], names=["idx", "u", "least"]))
-        out = out.unionByName(c.mapInArrow(_scan_whole(shared, k, dim, epsilon), "query_idx long, idx long, cosine double"))
-    return out.groupBy("query_idx", "idx").agg(F.max("cosine").alias("cosine"))
+def _united(dim: int):
+    """The vectors (column 1) of batches brought to unit length, the other columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[1] = list_array(unit(list_matrix(batch.column(1), dim))) if batch.num_rows else columns[1]
+            yield pa.RecordBatch.from_arrays(columns, names=[n if n != "vec" else "u" for n in batch.schema.names])
+
+    return run
+
+
+def _hashed(parts: int) -> Column:
+    return F.pmod(F.xxhash64("idx", "vec"), F.lit(parts)).cast("int")
+
+
+def _beyond(near: DataFrame, asked: DataFrame, c: DataFrame, k: int, dim: int, epsilon: float) -> DataFrame:
+    """query_idx, idx, cosine of all corpus vectors that may be among the k best of the queries in `asked` (idx, vec, least), given
+    what the probed lists have (`near`). Few queries are broadcast, the corpus is not moved, and only what is good enough leaves
+    a task; more queries and the corpus are cut into blocks and every two of them meet."""
+    t = asked.limit(MOST_BROADCAST + 1).toArrow().combine_chunks()
+    schema = "query_idx long, idx long, cosine double"
+    if not t.num_rows:
+        return near
+    if t.num_rows <= MOST_BROADCAST:
+        shared = near.sparkSession.sparkContext.broadcast(pa.table([t.column("idx"), list_array(unit(list_matrix(t.column("vec"), dim))), t.column("least")], names=["idx", "u", "least"]))
+        more = c.mapInArrow(_scan_whole(shared, k, dim, epsilon), schema)
+    else:
+        asked = checkpoint(asked)
+        parts, blocks = -(-asked.count() // QUERIES_AT_ONCE), -(-c.count() // (4 * coarse.BLOCK))
+        left = asked.select("idx", "vec", "least", _hashed(parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        right = c.select("idx", "vec", _hashed(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        left, right = left.mapInArrow(_united(dim), "idx long, u array<double>, least double, part int, block int"), right.mapInArrow(_united(dim), "idx long, u array<double>, block int, part int")
+        more = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_scan_lists(k, dim, epsilon), schema)
+    return near.unionByName(more).groupBy("query_idx", "idx").agg(F.max("cosine").alias("cosine"))
+
+
+def measured_probes(q: DataFrame, c: DataFrame, lists: Lists, k: int, dim: int, least: int = PROBES, recall: float = RECALL, sampled: int = SAMPLED_QUERIES) -> int:
+    """How many lists a query must probe so that the share `recall` of the true neighbours of a sample of queries lies in them.
+    The sample, chosen by a hash, is compared with all rows; what its k best are, and the places of their lists, tells."""
+    some = q.orderBy(F.xxhash64("idx", F.lit(3)), "idx").limit(sampled).toArrow().combine_chunks()
+    if not some.num_rows or lists.count <= least:
+        return min(least, lists.count)
+    u = unit(list_matrix(some.column("vec"), dim))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(list_matrix(batch.column(1), dim))
+                s = u @ x.T
+                at = coarse.best_columns(s, min(k, s.shape[1]))
+                home = lists.nearest(x[at.ravel()])[:, 0].reshape(at.shape)
+                row = np.repeat(np.arange(len(u)), at.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(batch.column(0).to_numpy(zero_copy_only=False)[at.ravel()]), pa.array(np.take_along_axis(s, at, 1).ravel()), pa.array(home.ravel())], names=["row", "idx", "cosine", "home"])
+
+    met = c.mapInArrow(best, "row long, idx long, cosine double, home long").groupBy("row", "idx").agg(F.max("cosine").alias("cosine"), F.min("home").alias("home"))
+    order = Window.partitionBy("row").orderBy(F.desc("cosine"), "idx")
+    table = met.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).toArrow()
+    rows, homes = table.column("row").to_numpy(), table.column("home").to_numpy()
+    if not len(rows):
+        return min(least, lists.count)
+    n = least
+    while n < lists.count:
+        near = lists.nearest(u, n)
+        if (near[rows] == homes[:, None]).any(1).mean() >= recall:
+            break
+        n = min(lists.count, n + max(1, n // 4))
+    return n
 
 
 def _rows(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
     return df.filter(usable_vector(vec, dim) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("idx"), F.col(vec).cast("array<double>").alias("vec"))
 
 
-def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int = K, key: str = "idx", vec: str = "vec", dim: int = DIM, probes: int = PROBES, epsilon: float = EPSILON, whole: bool = False) -> DataFrame:
+def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int = K, key: str = "idx", vec: str = "vec", dim: int = DIM, probes: int | None = None, epsilon: float = EPSILON, whole: bool = False) -> DataFrame:
     """The `k` corpus vectors of the highest cosine for every query: query_idx, idx, cosine, rank (from 1).
 
     Null keys and null, wrongly long, non-finite and zero vectors take no part; rows with the same idx count once; equal
-    cosines (to 12 places) go to the smaller idx. A query finds itself if it is in the corpus. A corpus of fewer than `k`
-    vectors gives what its probed lists have. The share of the corpus in the probed lists falls with its size; with `whole`
-    the rest is scanned as well, for queries whose neighbours lie scattered: each query meets every corpus vector's first
-    columns, at least. The centres are fitted on a bounded sample (see `coarse`); every row is indexed.
+    cosines (to 12 places) go to the smaller idx. A query finds itself if it is in the corpus. A query whose probed lists hold
+    fewer than `k` vectors is compared with all, so it has fewer than `k` only if the corpus has. With `whole` all queries
+    are, for those whose neighbours lie scattered: each meets every corpus vector's first columns, at least. The centres are
+    fitted on a bounded sample (see `coarse`), the number of probed lists is measured (see `measured_probes`) unless it is given;
+    every row is indexed.
     """
     q, c = _rows(queries, key, vec, dim), _rows(corpus, key, vec, dim)
-    lists = fit(c, dim, count=corpus.count())
-    schema = "list int, block int, idx long, u array<double>"
-    left = q.mapInArrow(_placer(lists, probes, dim, True), schema)
-    right = c.mapInArrow(_placer(lists, 1, dim, False), schema)
-    met = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInArrow(_scan_lists(k, dim, epsilon), "query_idx long, idx long, cosine double")
+    count = corpus.count()
+    lists = fit(c, dim, count=count)
+    if probes is None:
+        probes = min(PROBES, lists.count) if whole else measured_probes(q, c, lists, k, dim)
+    q_blocks, c_blocks = count_blocks(q, queries.count(), lists, probes, dim), count_blocks(c, count, lists, 1, dim)
+    schema = "list int, own_block int, other_block int, idx long, u array<double>"
+    left, right = q.mapInArrow(_placer(lists, probes, dim, q_blocks, c_blocks), schema), c.mapInArrow(_placer(lists, 1, dim, c_blocks, q_blocks, k), schema)
+    left, right = left.withColumnsRenamed({"own_block": "qb", "other_block": "cb"}), right.withColumnsRenamed({"own_block": "cb", "other_block": "qb"})
+    keys = ("list", "qb", "cb")
+    met = left.groupBy(*keys).cogroup(right.select(*left.columns).groupBy(*keys)).applyInArrow(_scan_lists(k, dim, epsilon), "query_idx long, idx long, cosine double")
     once = met.groupBy("query_idx", "idx").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("query_idx").orderBy(F.desc("cosine"), "idx")
-    if whole:
-        near = checkpoint(once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"))
-        once = _beyond(near, q, c, k, dim, epsilon)
+    near = checkpoint(once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+    held = near.groupBy("query_idx").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least")).filter(F.col("n") >= k).select(F.col("query_idx").alias("idx"), "least")
+    asked = q.distinct().join(held, "idx", "left") if whole else q.distinct().join(held, "idx", "left_anti").withColumn("least", F.lit(None).cast("double"))
+    once = _beyond(near.drop("rank"), asked.withColumn("least", F.coalesce("least", F.lit(-1.0))), c, k, dim, epsilon)
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 # ---- sparse codes
 
 WIDTH, ACTIVE = 3200, 16
+#: Rarest bits whose lists a code is met in, one number after the other.
+PREFIXES = (3, 7)
 WORDS_AT_ONCE = 10
 
 
@@ -264,28 +362,50 @@ def _scan_codes(k: int, width: int, active: int):
     return run
 
 
-def _poster(place: np.ndarray, prefix: int, group: np.ndarray, blocks: np.ndarray, active: int, all_blocks: bool):
-    """class, code -> a row for each group of lists that one of its `prefix` rarest bits is in; the bits in order of rarity."""
+def _scan_codes_whole(queries: Broadcast, k: int, width: int, active: int):
+    """Every batch of the corpus's codes (class, code; bits in the order of columns) against all `queries`."""
+    scan = _scan_codes(k, width, active)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from scan(queries.value, pa.Table.from_batches([batch])).to_batches()
+
+    return run
+
+
+def _placed_bits(place: np.ndarray, active: int):
+    """class, code -> class, code with the bits in order of rarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                flat = np.sort(place[list_matrix(batch.column(1), active).astype(np.int64)], axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, active, dtype=np.int32)), pa.array(flat.ravel()))], names=["class", "code"])
+
+    return run
+
+
+def _poster(prefix: int, group: np.ndarray, own: np.ndarray, other: np.ndarray, active: int):
+    """class, code -> a row for each group of lists that one of its `prefix` rarest bits is in, and each block of the other side
+    there. own, other: blocks by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             cls = batch.column(0).to_numpy(zero_copy_only=False)
-            code = np.sort(place[list_matrix(batch.column(1), active).astype(np.int64)], axis=1)
+            code = list_matrix(batch.column(1), active).astype(np.int64)
             pairs = np.unique(np.repeat(np.arange(len(cls)), prefix) * np.int64(1 << 20) + group[code[:, :prefix]].ravel())
             row, at = pairs >> 20, pairs & ((1 << 20) - 1)
-            if all_blocks:
-                times = blocks[at]
-                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row, at = np.repeat(row, times), np.repeat(at, times)
-            else:
-                block = block_of(cls[row], blocks[at])
+            copy, block = repeated(other[at])
+            row, at = row[copy], at[copy]
+            mine = block_of(cls[row], own[at])
             for low in range(0, len(row), 16_384):
                 s = slice(low, low + 16_384)
                 flat = code[row[s]].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, active, dtype=np.int32)), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(at[s].astype(np.int32)), pa.array(block[s].astype(np.int32)), pa.array(cls[row[s]]), lists], names=["list", "block", "class", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(at[s].astype(np.int32)), pa.array(mine[s].astype(np.int32)), pa.array(block[s].astype(np.int32)), pa.array(cls[row[s]]), lists], names=["list", "own_block", "other_block", "class", "code"])
 
     return run
 
@@ -298,7 +418,8 @@ def nearest_codes(queries: DataFrame, corpus: DataFrame, k: int = K, key: str =
     The result is exact. Codes that occur more than once are compared once; of each, the k smallest idx can matter.
 
     First every code is met in the lists of its rarest bits: codes that share `t` bits share one of the `active - t + 1`
-    rarest, so lists of 7 bits find all that share 10 or more. Queries whose k-th best shares fewer go to all lists.
+    rarest, so lists of 3 bits find all that share 14 or more. Queries whose k-th best shares fewer are compared with all codes
+    where they are few enough to be broadcast, else met in the lists of more bits, at last of all.
     """
     c_bit = F.array_sort(F.array_distinct(F.col(code)))
     ok = F.col(key).isNotNull() & F.coalesce((F.size(F.array_distinct(F.col(code))) == active) & F.forall(F.col(code), lambda x: x.isNotNull() & (x >= 0) & (x < width)), F.lit(False))
@@ -319,41 +440,58 @@ def nearest_codes(queries: DataFrame, corpus: DataFrame, k: int = K, key: str =
     place[order] = np.arange(width)
     c_cls_ids = c_cls.select(F.col("class").alias("c_class"), "ids")
     schema = "q_class long, c_class long, first_idx long, shared int"
+    placed = {name: df.select("class", "code").mapInArrow(_placed_bits(place, active), "class long, code array<int>") for name, df in (("q", q_cls), ("c", c_cls))}
 
-    def posted(df: DataFrame, prefix: int, group: np.ndarray, blocks: np.ndarray, all_blocks: bool) -> DataFrame:
-        return df.select("class", "code").mapInArrow(_poster(place, prefix, group, blocks, active, all_blocks), "list int, block int, class long, code array<int>")
+    def best_classes(met: DataFrame) -> DataFrame:
+        best = Window.partitionBy("q_class").orderBy(F.desc("shared"), "first_idx")
+        met = met.groupBy("q_class", "c_class").agg(F.max("shared").alias("shared"), F.min("first_idx").alias("first_idx"))
+        return met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("q_class", "c_class", "shared")
 
     def meet(qs: DataFrame, prefix: int) -> DataFrame:
-        # lists are gathered to groups of a few thousand codes; a longer list is cut into blocks by a hash of the class
-        counts = np.zeros(width, dtype=np.int64)
-        for r in posted(c_cls, prefix, np.arange(width), np.ones(width, int), False).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
-            counts[r.list] = r.n
+        # lists are gathered to groups of a few thousand codes; longer ones are cut into blocks by a hash of the class, on both
+        # sides, and every two blocks of a list meet
+        counts = {side: np.zeros(width, dtype=np.int64) for side in "qc"}
+        both = qs.select(F.lit("q").alias("side"), "code").unionByName(placed["c"].select(F.lit("c").alias("side"), "code"))
+        for r in both.select("side", F.explode(F.slice("code", 1, prefix)).alias("bit")).groupBy("side", "bit").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[r.side][r.bit] = r.n
         group, at, filled = np.zeros(width, int), 0, 0
         for bit in range(width):
-            if filled and filled + counts[bit] > 2048:
+            if filled and filled + counts["c"][bit] > 2048:
                 at, filled = at + 1, 0
-            group[bit], filled = at, filled + counts[bit]
-        blocks = np.maximum(1, -(-counts // 8192))
-        by_group = np.ones(width, int)
-        np.maximum.at(by_group, group, blocks)
-        left, right = posted(qs, prefix, group, by_group, True), posted(c_cls, prefix, group, by_group, False)
-        met = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInArrow(_scan_codes(k, width, active), schema)
-        best = Window.partitionBy("q_class").orderBy(F.desc("shared"), "first_idx")
-        met = met.groupBy("q_class", "c_class").agg(F.max("shared").alias("shared"), F.min("first_idx").alias("first_idx"))
-        return met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("q_class", "c_class", "shared")
+            group[bit], filled = at, filled + counts["c"][bit]
+        blocks = {}
+        for side, n in counts.items():
+            blocks[side] = np.maximum(1, -(-np.bincount(group, weights=n, minlength=width).astype(np.int64) // coarse.BLOCK))
+        kinds = "list int, own_block int, other_block int, class long, code array<int>"
+        left = qs.mapInArrow(_poster(prefix, group, blocks["q"], blocks["c"], active), kinds).withColumnsRenamed({"own_block": "qb", "other_block": "cb"})
+        right = placed["c"].mapInArrow(_poster(prefix, group, blocks["c"], blocks["q"], active), kinds).withColumnsRenamed({"own_block": "cb", "other_block": "qb"})
+        keys = ("list", "qb", "cb")
+        return best_classes(left.groupBy(*keys).cogroup(right.select(*left.columns).groupBy(*keys)).applyInArrow(_scan_codes(k, width, active), schema))
+
+    def whole(few: pa.Table) -> DataFrame:
+        shared = queries.sparkSession.sparkContext.broadcast(few)
+        return best_classes(placed["c"].mapInArrow(_scan_codes_whole(shared, k, width, active), schema))
 
     def expanded(met: DataFrame) -> DataFrame:
         ids = met.join(c_cls_ids, "c_class").select("q_class", F.explode("ids").alias("idx"), "shared")
         best = Window.partitionBy("q_class").orderBy(F.desc("shared"), "idx")
         return ids.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    prefix = max(1, active // 2 - 1)
-    near = checkpoint(expanded(meet(q_cls, prefix)))
-    # complete where k are found and the k-th shares more than an unmet code can
-    complete = near.groupBy("q_class").agg(F.count(F.lit(1)).alias("n"), F.min("shared").alias("least")).filter((F.col("n") == k) & (F.col("least") > active - prefix))
-    rest = checkpoint(q_cls.join(complete, q_cls["class"] == complete["q_class"], "left_anti"))
-    out = near.join(complete.select("q_class"), "q_class", "left_semi").select("q_class", "idx", "shared", "rank")
-    if not rest.isEmpty():
+    out, rest = None, placed["q"]
+    for prefix in PREFIXES:
+        near = checkpoint(expanded(meet(rest, min(prefix, active))))
+        # complete where k are found and the k-th shares more than an unmet code can
+        complete = near.groupBy("q_class").agg(F.count(F.lit(1)).alias("n"), F.min("shared").alias("least")).filter((F.col("n") == k) & (F.col("least") > active - prefix)).select("q_class")
+        found = near.join(complete, "q_class", "left_semi").select("q_class", "idx", "shared", "rank")
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(complete, rest["class"] == complete["q_class"], "left_anti")
+        few = rest.limit(MOST_BROADCAST + 1).toArrow().combine_chunks()
+        if few.num_rows <= MOST_BROADCAST:
+            break
+        rest = checkpoint(rest)
+    if 0 < few.num_rows <= MOST_BROADCAST:
+        out = out.unionByName(expanded(whole(few)).select("q_class", "idx", "shared", "rank"))
+    elif few.num_rows:
         far = expanded(meet(rest, active)).select("q_class", "idx", "shared")
         # of codes that share nothing, the smallest idx fill up
         fill = [r.idx for r in c_rows.select("idx").distinct().orderBy("idx").limit(2 * k).collect()]

@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_passages(spark: SparkSession, d: str) -> DataFrame:
     """Passages whose idx is divisible by 50 against all passages; the passage itself is among its own."""
     corpus = read(spark, d, "corpus")
-    return nearest.nearest_vectors(corpus.filter("idx % 50 = 0"), corpus, 6, whole=True)
+    return nearest.nearest_vectors(corpus.filter("idx % 50 = 0"), corpus, 6, whole=True).withColumn("cosine", F.round("cosine", 6))
 
 
 def p3_token_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -136,6 +136,17 @@ _SPLIT = """v AS (SELECT DISTINCT idx, role, vec, list_transform(vec, lambda x:
              AND list_sum(list_transform(vec, lambda x: abs(x))) > 0)"""
 
 SQL: dict[str, str] = {
+    "p1_found": f"""
+WITH v AS (SELECT DISTINCT 'corpus' AS table_name, idx, vec FROM corpus WHERE {_VALID} UNION ALL SELECT DISTINCT 'labeled', idx, vec FROM labeled WHERE {_VALID}),
+n AS (SELECT a.table_name, a.idx, list_sort(list(DISTINCT b.idx)) AS near FROM v a JOIN v b ON a.table_name = b.table_name AND list_cosine_similarity(a.vec, b.vec) >= 0.80 GROUP BY a.table_name, a.idx),
+g AS (SELECT table_name, near FROM n GROUP BY table_name, near HAVING count(*) = len(near) AND len(near) >= 3)
+SELECT table_name, unnest(near) AS idx, near[1] AS cluster_idx FROM g""",
+    "p2_passages": f"""
+WITH c AS (SELECT DISTINCT idx, vec FROM corpus WHERE {_VALID})
+SELECT query_idx, idx, round(s, 6) AS cosine, rank FROM (
+  SELECT a.idx AS query_idx, b.idx AS idx, max(round(list_cosine_similarity(a.vec, b.vec), 12)) AS s,
+    row_number() OVER (PARTITION BY a.idx ORDER BY max(round(list_cosine_similarity(a.vec, b.vec), 12)) DESC, b.idx)::INTEGER AS rank
+  FROM c a, c b WHERE a.idx % 50 = 0 GROUP BY a.idx, b.idx) WHERE rank <= 6""",
     "p2_found": f"""
 WITH c AS (SELECT DISTINCT idx, vec FROM corpus WHERE {_VALID}), q AS (SELECT DISTINCT idx, vec FROM queries WHERE {_VALID}),
 s AS (SELECT DISTINCT role, idx, list_sort(list_distinct(code)) AS code FROM sparse_codes WHERE len(list_distinct(code)) = 16),

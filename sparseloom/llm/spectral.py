@@ -5,37 +5,42 @@ record is tied to a leader it is close to, which gives one affinity per record i
 similar get affinities across blocks and lists, all of `MIN_AFFINITY` or more. The row-normalised affinities, weighted
 by the leaders' numbers of records, are iterated on several random vectors at once: within a group the vectors become
 constant, between groups they differ. Where all of a group's affinities are from 0.80 to 1, a turn leaves at most a fifth of
-the spread, so after `TURNS` = 8 it is under 0.2 ** 8 = 2.6e-6 and within the grid. K-means, seeded by the cells of a grid over that embedding, clusters the leaders; records
-follow their leader and are ranked by their mean affinity to their cluster, which the cluster's vector sum gives exactly.
+the spread, so after `TURNS` = 8 it is under 0.2 ** 8 = 2.6e-6 and within the grid. K-means clusters the leaders in that embedding:
+the cells of a grid over all its vectors give the first centres, then leaders go to the nearest centre and centres to the mean
+of their leaders. Records follow their leader and are ranked by their mean affinity to their cluster, which the cluster's
+vector sum gives exactly.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .coarse import Lists, block_of, fit
+from .coarse import Blocks, Lists, block_of, count_blocks, fit, repeated
 from .common import DIM, checkpoint, list_array, list_matrix, small, unit, usable_vector
 
 MIN_AFFINITY, LEADER_AFFINITY, PROBES, VECTORS, TURNS, CUT, GRID, LIST_ROWS = 0.80, 0.90, 10, 4, 8, 4, 1e-5, 1024
 #: Entries of an affinity matrix held at once.
 AFFINITIES_AT_ONCE = 2_000_000
 TYPICAL = 5
+#: Turns of k-means after the grid's cells.
+LLOYD = 2
 
 
-def _place(lists: Lists, dim: int):
+def _place(lists: Lists, blocks: Blocks, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 idx = batch.column(0).to_numpy(zero_copy_only=False)
                 u = unit(list_matrix(batch.column(1), dim))
                 at = lists.nearest(u, 1)[:, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(block_of(idx, lists.blocks[at])), batch.column(0), list_array(u.astype(np.float32))], names=["list", "block", "idx", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(block_of(idx, blocks.of(at))), batch.column(0), list_array(u.astype(np.float32))], names=["list", "block", "idx", "u"])
 
     return run
 
@@ -68,47 +73,68 @@ def _lead(least: float, dim: int):
         near, to_mean = dot / size[leader], np.minimum(1, dot / np.linalg.norm(sums, axis=1)[leader])
         offsets = np.r_[0, np.cumsum(np.where(own, dim, 0))].astype(np.int32)
         total = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums[own].ravel().astype(np.float32)), mask=pa.array(~own))
-        return pa.table([pa.array(idx), pa.array(idx[leader]), pa.array(np.where(own, size, 0)), pa.array(near), pa.array(to_mean), list_array(u), total], names=["idx", "leader", "size", "near", "to_mean", "u", "total"])
+        keys = [table.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(idx), np.int64))) for c in ("list", "block")]
+        return pa.table([*keys, pa.array(idx), pa.array(idx[leader]), pa.array(np.where(own, size, 0)), pa.array(near), pa.array(to_mean), list_array(u), total], names=["list", "block", "idx", "leader", "size", "near", "to_mean", "u", "total"])
 
     return run
 
 
-def _probe(lists: Lists, dim: int, probes: int):
-    """idx, size, u -> a row for each list near a leader (and each block of it); `home` where it is its own."""
+def _probe(lists: Lists, blocks: Blocks, senders: Blocks, dim: int, probes: int):
+    """idx, u -> a row for each list near a leader and each block of it; `part` is the leader's own among those sent there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             idx = batch.column(0).to_numpy(zero_copy_only=False)
-            u = list_matrix(batch.column(2), dim)
+            u = list_matrix(batch.column(1), dim)
             near = lists.nearest(u, probes)
             row, at = np.repeat(np.arange(len(u)), near.shape[1]), near.ravel()
-            home = np.tile(np.arange(near.shape[1]) == 0, len(u))
-            times = lists.blocks[at]
-            block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            row, at, home = np.repeat(row, times), np.repeat(at, times), np.repeat(home, times)
-            home &= block == block_of(idx[row], lists.blocks[at])
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(home), list_array(u[row].astype(np.float32))], names=["list", "block", "idx", "size", "home", "u"])
+            copy, block = repeated(blocks.of(at))
+            row, at = row[copy], at[copy]
+            part = block_of(idx[row], senders.of(at))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(part), pa.array(idx[row]), list_array(u[row].astype(np.float32))], names=["list", "block", "part", "idx", "u"])
 
     return run
 
 
-def _affinities(least: float, dim: int):
-    """All affinities of `least` or more between the leaders sent to a block and those at home in it, handed on in pieces."""
+def _at_home(senders: Blocks, dim: int):
+    """list, block, idx, leader, u -> the same for each part of the leaders sent to the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        idx, home = (table.column(c).to_numpy() for c in ("idx", "home"))
-        u = list_matrix(table.column("u"), dim).astype(np.float32)
-        there = np.flatnonzero(home)
-        step = max(1, AFFINITIES_AT_ONCE // max(1, len(there)))
-        for low in range(0, len(u) if len(there) else 0, step):
-            s = u[low : low + step] @ u[there].T
-            s[idx[low : low + step][:, None] == idx[there][None, :]] = -1
-            a, b = np.nonzero(s >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(idx[low + a]), pa.array(idx[there[b]]), pa.array(s[a, b].astype(np.float64))], names=["a", "b", "w"])
+        for batch in batches:
+            if batch.num_rows:
+                copy, part = repeated(senders.of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+                rows = batch if len(copy) == batch.num_rows else batch.take(pa.array(copy))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(part.astype(np.int32)), *rows.columns[2:]], names=["list", "block", "part", "idx", "leader", "u"])
+
+    return run
+
+
+def _affinities(least: float, dim: int):
+    """All affinities of `least` or more between the leaders sent to a block and those at home in it; and the leaders of other
+    records at home that a leader is as close to (w is 0), by which clusters touch."""
+
+    def run(sent: pa.Table, home: pa.Table) -> pa.Table:
+        out = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+        if sent.num_rows and home.num_rows:
+            idx, there, leader = sent.column("idx").to_numpy(), home.column("idx").to_numpy(), home.column("leader").to_numpy()
+            u, v = (list_matrix(t.column("u"), dim).astype(np.float32) for t in (sent, home))
+            own = there == leader
+            step = max(1, AFFINITIES_AT_ONCE // len(v))
+            for low in range(0, len(u), step):
+                s = u[low : low + step] @ v.T
+                a, b = np.nonzero(s >= least)
+                w = np.where(own[b], s[a, b], 0.0)
+                other = idx[low + a] != leader[b]
+                for o, x in zip(out, (idx[low + a][other], leader[b][other], w[other])):
+                    o.append(x)
+        a, b, w = (np.concatenate(o) for o in out)
+        # of a pair of leaders once, with its affinity if that is there
+        order = np.lexsort((-w, b, a))
+        a, b, w = a[order], b[order], w[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+        return pa.table([pa.array(a[new]), pa.array(b[new]), pa.array(w[new].astype(np.float64))], names=["a", "b", "w"])
 
     return run
 
@@ -133,21 +159,27 @@ def spectral_clusters(df: DataFrame, key: str = "idx", vec: str = "vec", dim: in
 
     One row per record with a usable vector; repeated rows with the same key count once, a record alone is a cluster of one.
     `tight`: all members have a cosine of `least` or more with each other - by the angles to the cluster's mean where these
-    settle it, else by measuring the outer members against all in blocks. `isolated`: none of its leaders has an affinity to one
-    of another cluster, as where the walk parts a chain of similar records. Null, wrongly long, non-finite and zero vectors
+    settle it, else by measuring the outer members against all in blocks. `isolated`: none of its leaders has a cosine of
+    `least` or more to a record of another cluster, nor a leader of another one to its records, as where the walk parts a chain. Null, wrongly long, non-finite and zero vectors
     and null keys take no part. If a key has several vectors, each of them is clustered and the smallest cluster counts.
     """
     rows = df.filter(usable_vector(vec, dim) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("idx"), F.col(vec).cast("array<double>").alias("vec"))
-    lists = fit(rows, dim, rows_per_list=LIST_ROWS, count=df.count())
-    placed = rows.mapInArrow(_place(lists, dim), "list int, block int, idx long, u array<float>")
-    led = checkpoint(placed.groupBy("list", "block").applyInArrow(_lead(LEADER_AFFINITY, dim), "idx long, leader long, size long, near double, to_mean double, u array<float>, total array<float>"))
+    count = df.count()
+    lists = fit(rows, dim, rows_per_list=LIST_ROWS, count=count)
+    blocks = count_blocks(rows, count, lists, 1, dim)
+    placed = rows.mapInArrow(_place(lists, blocks, dim), "list int, block int, idx long, u array<float>")
+    led = checkpoint(placed.groupBy("list", "block").applyInArrow(_lead(LEADER_AFFINITY, dim), "list int, block int, idx long, leader long, size long, near double, to_mean double, u array<float>, total array<float>"))
     heads = led.filter("idx = leader").select("idx", "size", "u")
 
     # affinities between leaders, the same in both directions
-    probed = heads.mapInArrow(_probe(lists, dim, PROBES), "list int, block int, idx long, size long, home boolean, u array<float>")
-    found = probed.groupBy("list", "block").applyInArrow(_affinities(least, dim), "a long, b long, w double")
-    both = found.select("a", "b", "w").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.max("w").alias("w"))
-    edges = checkpoint(both)
+    senders = count_blocks(heads.select(F.col("u").alias("vec")), heads.count(), lists, PROBES, dim)
+    sent = heads.select("idx", "u").mapInArrow(_probe(lists, blocks, senders, dim, PROBES), "list int, block int, part int, idx long, u array<float>")
+    home = led.select("list", "block", "idx", "leader", "u").mapInArrow(_at_home(senders, dim), "list int, block int, part int, idx long, leader long, u array<float>")
+    keys = ("list", "block", "part")
+    found = sent.groupBy(*keys).cogroup(home.groupBy(*keys)).applyInArrow(_affinities(least, dim), "a long, b long, w double")
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.max("w").alias("w"))
+    met = checkpoint(both)
+    edges = met.filter("w > 0")
     sizes = heads.select(F.col("idx").alias("b"), "size")
     linked = edges.select("a").distinct()
     loops = linked.join(sizes.withColumnRenamed("b", "a"), "a").select("a", F.col("a").alias("b"), F.lit(1.0).alias("w"), "size")
@@ -164,15 +196,23 @@ def spectral_clusters(df: DataFrame, key: str = "idx", vec: str = "vec", dim: in
         v = walk.join(v, walk["b"] == v["idx"]).groupBy("a").agg(*(F.sum(F.col("w") * F.col(n)).alias(n) for n in names)).withColumnRenamed("a", "idx")
     embedded = checkpoint(v)
 
-    # k-means: the grid's cells give the first centres; each leader goes to the nearest centre of its own and the next cells
-    cell = [F.floor(F.col(n) / GRID).cast("long") for n in names[:2]]
-    celled = embedded.withColumns({"c0": cell[0], "c1": cell[1]})
-    centres = celled.groupBy("c0", "c1").agg(F.min("idx").alias("centre"), *(F.avg(n).alias(f"m{k}") for k, n in enumerate(names)))
-    around = celled.withColumn("d0", F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))).withColumn("d1", F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))).withColumns({"c0": F.col("c0") + F.col("d0"), "c1": F.col("c1") + F.col("d1")})
+    # k-means: the grid's cells give the first centres; a leader looks for its centre in its own cell and the nearer next ones
+    def cell(*numbers) -> Column:
+        return F.xxhash64(*numbers)
+
+    own = [F.floor(F.col(n) / GRID) for n in names]
+    next_one = [c + F.when(F.col(n) / GRID - c < 0.5, -1).otherwise(1) for c, n in zip(own, names)]
+    around = embedded.withColumn("cell", F.explode(F.array(*(cell(*c) for c in itertools.product(*zip(own, next_one))))))
     distance = sum(((F.col(n) - F.col(f"m{k}")) ** 2 for k, n in enumerate(names)), F.lit(0.0))
-    # centres closer than the grid are one: the smallest name wins among them
-    joined = around.join(centres, ["c0", "c1"]).withColumn("dist", distance)
-    labelled = joined.groupBy("idx").agg(F.coalesce(F.min(F.when(F.col("dist") <= (GRID * 1.5) ** 2, F.col("centre"))), F.min_by("centre", "dist")).alias("label"))
+    means = [F.avg(n).alias(f"m{k}") for k, n in enumerate(names)]
+    centres = embedded.withColumn("cell", cell(*own)).groupBy("cell").agg(F.min("idx").alias("centre"), *means).drop("cell")
+    for turn in range(LLOYD):
+        if turn:
+            centres = embedded.join(labelled, "idx").groupBy(F.col("label").alias("centre")).agg(*means)
+        placed_centres = centres.withColumn("cell", cell(*(F.floor(F.col(f"m{k}") / GRID) for k in range(vectors))))
+        # centres closer than the grid are one: the smallest name wins among them
+        close = around.join(placed_centres, "cell").withColumn("dist", distance)
+        labelled = close.groupBy("idx").agg(F.coalesce(F.min(F.when(F.col("dist") <= (GRID * 1.5) ** 2, F.col("centre"))), F.min_by("centre", "dist")).alias("label"))
     label = heads.select("idx").join(labelled, "idx", "left").select(F.col("idx").alias("leader"), F.coalesce("label", "idx").alias("label"))
     label = checkpoint(label)
 
@@ -205,7 +245,7 @@ def spectral_clusters(df: DataFrame, key: str = "idx", vec: str = "vec", dim: in
     checked = outer.groupBy("outer_cluster", "outer_part").cogroup(members.select("cluster", "part", "u").groupBy("cluster", "part")).applyInArrow(_outer_check(least, dim), "cluster long, holds boolean")
     held = checked.groupBy(F.col("cluster").alias("label")).agg(F.min("holds").alias("holds"))
     state = judged.join(held, "label", "left").select("label", "first", (F.col("settled") | F.coalesce("holds", F.lit(False))).alias("tight"))
-    ends = edges.select("a", "b").join(label.select(F.col("leader").alias("a"), F.col("label").alias("label")), "a").join(label.select(F.col("leader").alias("b"), F.col("label").alias("other")), "b")
+    ends = met.select("a", "b").join(label.select(F.col("leader").alias("a"), F.col("label").alias("label")), "a").join(label.select(F.col("leader").alias("b"), F.col("label").alias("other")), "b")
     touched = ends.filter("label != other").select("label").distinct().withColumn("touched", F.lit(True))
     out = rated.join(state, "label", "left").join(touched, "label", "left")
     out = out.select(F.coalesce("first", "idx").alias("cluster"), "idx", "affinity", F.col("n").alias("size"), F.coalesce("tight", F.lit(True)).alias("tight"), F.col("touched").isNull().alias("isolated"))
