@@ -1,7 +1,10 @@
-"""Text preparation as native columns. White space is Python's: (?U)\\s with the information separators."""
+"""Text preparation as native columns, and chunking as an Arrow function. White space is Python's: (?U)\\s with the information separators."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,37 +41,39 @@ def split_sentences(text: Column | str) -> Column:
     return non_blank(F.split(_col(text), r"(?<=[.!?])[ \t\n\r]+"))
 
 
+def merge_pieces(pieces: list[str], least: int, most: int, joiner: str) -> list[str]:
+    """See `chunk_pieces`. One walk over the pieces, each counted once."""
+    bounds, start, words = [], 0, 0  # (first piece, piece after the last) of every chunk
+    for at, piece in enumerate(pieces):
+        n = len(piece.split())
+        if at > start and words + n > most:
+            bounds.append((start, at))
+            start, words = at, n
+        elif words + n >= least:
+            bounds.append((start, at + 1))
+            start, words = at + 1, 0
+        else:
+            words += n
+    if start < len(pieces):
+        if bounds and words < least // 2:
+            start = bounds.pop()[0]
+        bounds.append((start, len(pieces)))
+    return [joiner.join(pieces[a:b]) for a, b in bounds]
+
+
 def chunk_pieces(pieces: Column | str, least: int = 250, most: int = 350, joiner: str = "\n\n") -> Column:
-    """Pieces merged in order to chunks of about `least` to `most` words.
+    """Pieces merged in order to chunks of about `least` to `most` words; null for null.
 
     A piece that would take the open chunk beyond `most` closes it and opens the next, which is then not held against `least`;
     else it is added, and a chunk of `least` words or more closes. A rest of fewer than half of `least` words joins the last chunk.
     """
-    state = "struct<done:array<string>,open:array<string>,n:int>"
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n")).cast(state)
-
-    def joined(parts: Column) -> Column:
-        return F.array_join(parts, joiner)
-
-    def step(acc: Column, piece: Column) -> Column:
-        n = word_count(piece)
-        added = F.concat(acc["open"], F.array(piece))
-        over = (F.size(acc["open"]) > 0) & (acc["n"] + n > most)
-        full = acc["n"] + n >= least
-        make = lambda done, parts, count: F.struct(done.alias("done"), parts.alias("open"), count.alias("n")).cast(state)
-        return (
-            F.when(over, make(F.concat(acc["done"], F.array(joined(acc["open"]))), F.array(piece), n))
-            .when(full, make(F.concat(acc["done"], F.array(joined(added))), F.array().cast("array<string>"), F.lit(0)))
-            .otherwise(make(acc["done"], added, acc["n"] + n))
-        )
-
-    def finish(acc: Column) -> Column:
-        rest = joined(acc["open"])
-        short = (acc["n"] < least // 2) & (F.size(acc["done"]) > 0)
-        merged = F.concat(F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(F.concat(F.element_at(acc["done"], -1), F.lit(joiner), rest)))
-        return F.when(F.size(acc["open"]) == 0, acc["done"]).when(short, merged).otherwise(F.concat(acc["done"], F.array(rest)))
-
-    return F.aggregate(_col(pieces), start, step, finish)
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            yield pd.Series([None if p is None else merge_pieces(list(p), least, most, joiner) for p in series], dtype="object")
+
+    return run(_col(pieces))
 
 
 def strip_boilerplate(text: Column | str) -> Column:

@@ -1,27 +1,30 @@
 """Exact nearest neighbours: by Hamming distance of codes, by cosine, by squared L2. Results are keyed by query id.
 
-Strategy "gemm" (default): queries go out in chunks of bounded size, every corpus batch takes one matrix product with them and
-keeps its best R per query by one integer key (distance, then idx); the partial results, R rows per query and corpus task, meet in
-a window that Spark limits by group before it shuffles. Strategy "sql" is the plain join with a window, for small inputs and
-as a reference in tests.
+Strategy "gemm" (default): every corpus batch takes one matrix product with the queries and keeps its best R per query by one
+integer key (distance, then idx); the partial results, R rows per query and batch, meet in a window that Spark limits by group
+before it shuffles. Up to `QUERIES_AT_ONCE` queries are broadcast and the corpus stays where it is; more queries and the corpus
+are cut into blocks by hashes of their ids, and every two blocks meet in one cogrouped plan. Strategy "sql" is the plain join
+with a window, for small inputs and as a reference in tests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as code_fn
 from ..functions import vec
 from .encoders import matrix_of
 
-#: Queries of one broadcast; more queries go in several passes over the corpus.
-QUERIES_AT_ONCE = 8_192
+#: The most queries of a broadcast, and of a block where there are more; rows of a block of the corpus.
+QUERIES_AT_ONCE, BLOCK = 8_192, 16_384
+#: Entries of a distance matrix held at once.
+DISTANCES_AT_ONCE = 4_000_000
 
 
 def _ranked(df: DataFrame, order: list, r: int | None) -> DataFrame:
@@ -34,15 +37,54 @@ def _excluding(corpus: DataFrame, exclude: DataFrame | None, key: str) -> DataFr
     return corpus if exclude is None else corpus.join(exclude.select(key).distinct(), key, "left_anti")
 
 
-def _chunks(queries: DataFrame) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """Queries in bounded chunks, by a hash of their id; each chunk is collected for itself."""
-    n = queries.count()
-    parts = max(1, -(-n // (QUERIES_AT_ONCE // 2)))
-    for part in range(parts):
-        some = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("qidx"), F.lit(parts)) == part)
-        t = some.toArrow()
-        if t.num_rows:
-            yield t.column(0).to_numpy(), t.column(1).combine_chunks() if t.column(1).num_chunks != 1 else t.column(1).chunk(0)
+#: Queries against some of the corpus, both as tables of an id and a value: the rows that go on.
+Kernel = Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]
+
+
+def _hash_block(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def _each(blocks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+
+def _meet(q: DataFrame, c: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+    """`kernel` over all queries (qidx, value) and all of the corpus (idx, value), in batches or blocks."""
+    few = q.limit(QUERIES_AT_ONCE + 1).toArrow().combine_chunks()
+    if not few.num_rows:
+        return q.sparkSession.createDataFrame([], schema)
+    if few.num_rows <= QUERIES_AT_ONCE:
+        shared = q.sparkSession.sparkContext.broadcast(few)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from kernel(shared.value, pa.Table.from_batches([batch]))
+
+        return c.mapInArrow(run, schema)
+    q_names, c_names = q.columns, c.columns
+    parts, blocks = -(-q.count() // QUERIES_AT_ONCE), -(-max(1, c.count()) // BLOCK)
+    left = q.select(*q_names, _hash_block(q_names[0], parts).alias("__q"), _each(blocks).alias("__c"))
+    right = c.select(*c_names, _hash_block(c_names[0], blocks).alias("__c"), _each(parts).alias("__q"))
+    empty = kernel_schema(schema)
+
+    def meet(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        if not queries.num_rows or not corpus.num_rows:
+            return empty.empty_table()
+        met = list(kernel(queries.select(q_names).combine_chunks(), corpus.select(c_names).combine_chunks()))
+        return pa.Table.from_batches(met) if met else empty.empty_table()
+
+    return left.groupBy("__q", "__c").cogroup(right.groupBy("__q", "__c")).applyInArrow(meet, schema)
+
+
+def kernel_schema(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+
+
+def _array(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
 
 
 def best_rows(key: np.ndarray, r: int) -> np.ndarray:
@@ -85,7 +127,8 @@ def hamming_top_r(queries: DataFrame, corpus: DataFrame, r: int, strategy: str =
             a, b = a[~own[a, b]], b[~own[a, b]]
         return pa.RecordBatch.from_arrays([pa.array(q_ids[a]), ids.take(pa.array(b)), pa.array(distance[a, b].astype(np.int32))], names=["qidx", "idx", "distance"])
 
-    out = _over_distances(q, c, best, f"qidx long, idx {'string' if by_text else 'long'}, distance int", r > 0)
+    schema = f"qidx long, idx {'string' if by_text else 'long'}, distance int"
+    out = _meet(q, c, _distances(best), schema) if r else q.sparkSession.createDataFrame([], schema)
     return _ranked(out, ["distance", "idx"], r)
 
 
@@ -97,40 +140,37 @@ def hamming_extent(queries: DataFrame, corpus: DataFrame, query_key: str = "idx"
     def ends(ids: pa.Array, q_ids: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(distance.min(1).astype(np.int32)), pa.array(distance.max(1).astype(np.int32))], names=["qidx", "low", "high"])
 
-    return _over_distances(q, c, ends, "qidx long, low int, high int").groupBy("qidx").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return _meet(q, c, _distances(ends), "qidx long, low int, high int").groupBy("qidx").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def _over_distances(q: DataFrame, c: DataFrame, then, schema: str, any_rows: bool = True) -> DataFrame:
-    """Applies `then` (ids in order, query ids, distance matrix) to every corpus batch and chunk of queries."""
-    spark = q.sparkSession
-    out = None
-    for ids, codes in _chunks(q) if any_rows else ():
-        width = int(codes.flatten().to_numpy(zero_copy_only=False).max(initial=0)) + 1
-        shared = spark.sparkContext.broadcast((ids, codes.flatten().to_numpy(zero_copy_only=False), codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), width))
+def _multi_hot(row: np.ndarray, unit: np.ndarray, rows: int, width: int) -> np.ndarray:
+    out = np.zeros((rows, width), dtype=np.float32)
+    inside = unit < width  # units that no query has share nothing
+    out[row[inside], unit[inside]] = 1
+    return out
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, flat_q, q_size, w = shared.value  # noqa: B023
-            hot = np.zeros((len(q_ids), w), dtype=np.float32)
-            hot[np.repeat(np.arange(len(q_ids)), q_size), flat_q] = 1
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                order = pc.sort_indices(batch.column(0))
-                ids, column = batch.column(0).take(order), batch.column(1).take(order)
-                size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                flat, row = column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), size)
-                inside = flat < w  # units that no query has share nothing
-                hot_c = np.zeros((len(ids), w), dtype=np.float32)
-                hot_c[row[inside], flat[inside]] = 1
-                step = max(1, 4_000_000 // len(ids))
-                for low in range(0, len(q_ids), step):
-                    s = slice(low, low + step)
-                    shared_units = np.rint(hot[s] @ hot_c.T).astype(np.int64)
-                    yield then(ids, q_ids[s], q_size[s, None] + size[None, :] - 2 * shared_units)
-
-        part = c.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+
+def _distances(then) -> Kernel:
+    """A kernel that applies `then` to (ids in order, query ids, matrix of Hamming distances)."""
+
+    def kernel(queries: pa.Table, corpus: pa.Table) -> Iterator[pa.RecordBatch]:
+        q_ids, q_codes = queries.column(0).to_numpy(), _array(queries.column(1))
+        q_size, q_units = q_codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), q_codes.flatten().to_numpy(zero_copy_only=False)
+        q_starts = np.r_[0, np.cumsum(q_size)]
+        width = int(q_units.max(initial=0)) + 1
+        ids, codes = _array(corpus.column(0)), _array(corpus.column(1))
+        order = pc.sort_indices(ids)
+        ids, codes = ids.take(order), codes.take(order)
+        size = codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        hot = _multi_hot(np.repeat(np.arange(len(ids)), size), codes.flatten().to_numpy(zero_copy_only=False), len(ids), width).T
+        step = max(1, DISTANCES_AT_ONCE // len(ids))
+        for low in range(0, len(q_ids), step):
+            high = min(len(q_ids), low + step)
+            units = q_units[q_starts[low] : q_starts[high]]
+            shared = _multi_hot(np.repeat(np.arange(high - low), q_size[low:high]), units, high - low, width) @ hot
+            yield then(ids, q_ids[low:high], q_size[low:high, None] + size[None, :] - 2 * np.rint(shared).astype(np.int64))
+
+    return kernel
 
 
 def hamming_rank_all(queries: DataFrame, corpus: DataFrame, **options) -> DataFrame:
@@ -153,56 +193,45 @@ def l2_top_r(queries: DataFrame, corpus: DataFrame, r: int, query_key: str = "id
 def _dense_top_r(queries, corpus, r, query_key, key, vec_col, exclude_self, metric) -> DataFrame:
     if r < 0:
         raise ValueError("r must not be negative")
-    spark = queries.sparkSession
     q = queries.filter(F.col(vec_col).isNotNull()).select(F.col(query_key).cast("long").alias("qidx"), vec.as_double(vec_col).alias("qvec"))
     c = corpus.filter(F.col(vec_col).isNotNull()).select(F.col(key).cast("long").alias("idx"), vec.as_double(vec_col).alias("vec"))
     schema = "qidx long, idx long, score double, tied double"
-    out = None
-    for ids, column in _chunks(q) if r else ():
-        dim = len(column[0])
-        shared = spark.sparkContext.broadcast((ids, matrix_of(column, dim)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, qs = shared.value  # noqa: B023
-            qs = vec.np_normalize(qs) if metric == "cosine" else qs
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                idx = batch.column(0).to_numpy(zero_copy_only=False)
-                x = matrix_of(batch.column(1), qs.shape[1])
-                x = vec.np_normalize(x) if metric == "cosine" else x
-                order = np.argsort(idx, kind="stable")
-                idx, x = idx[order], x[order]
-                step = max(1, 4_000_000 // len(idx))
-                for low in range(0, len(q_ids), step):
-                    part = qs[low : low + step]
-                    s = part @ x.T
-                    # all that may be among the r best by the product, then exactly: products differ in the last places
-                    size = 1.0 if metric == "cosine" else (part**2).sum(1)[:, None] + (x**2).sum(1)[None, :]
-                    rough = -s if metric == "cosine" else size - 2 * s
-                    if exclude_self:
-                        rough = np.where(q_ids[low : low + step, None] == idx[None, :], np.inf, rough)
-                    if r < len(idx):
-                        slack = 2e-12 + 4 * x.shape[1] * np.finfo(np.float64).eps * np.max(size, axis=None if metric == "cosine" else 1)
-                        a, b = np.nonzero(~(rough > (np.partition(rough, r - 1, axis=1)[:, r - 1] + slack)[:, None]))
-                    else:
-                        a, b = np.repeat(np.arange(len(part)), len(idx)), np.tile(np.arange(len(idx)), len(part))
-                    if exclude_self:
-                        keep = q_ids[low + a] != idx[b]
-                        a, b = a[keep], b[keep]
-                    exact = np.empty(len(a))
-                    for at in range(0, len(a), pairs := max(1, 8_000_000 // x.shape[1])):
-                        left, right = part[a[at : at + pairs]], x[b[at : at + pairs]]
-                        exact[at : at + pairs] = (left * right).sum(1) if metric == "cosine" else ((left - right) ** 2).sum(1)
-                    # equal to 12 places is equal: sums in another order differ beyond. Rows are in the order of idx
-                    tied = np.round(exact, 12)
-                    order = np.lexsort((b, -tied if metric == "cosine" else tied, a))
-                    first = np.searchsorted(a[order], np.arange(len(part)))
-                    best = order[np.arange(len(a)) - first[a[order]] < r]
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[low + a[best]]), pa.array(idx[b[best]]), pa.array(exact[best]), pa.array(tied[best])], names=["qidx", "idx", "score", "tied"])
-
-        part = c.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return _ranked(out, [F.desc("tied") if metric == "cosine" else F.col("tied"), F.col("idx")], r).drop("tied")
+    cosine = metric == "cosine"
+
+    def kernel(queries: pa.Table, corpus: pa.Table) -> Iterator[pa.RecordBatch]:
+        q_ids, column = queries.column(0).to_numpy(), _array(queries.column(1))
+        qs = matrix_of(column, len(column[0]))
+        idx, x = corpus.column(0).to_numpy(), matrix_of(_array(corpus.column(1)), qs.shape[1])
+        qs, x = (vec.np_normalize(qs), vec.np_normalize(x)) if cosine else (qs, x)
+        order = np.argsort(idx, kind="stable")
+        idx, x = idx[order], x[order]
+        step = max(1, DISTANCES_AT_ONCE // len(idx))
+        for low in range(0, len(q_ids), step):
+            part = qs[low : low + step]
+            s = part @ x.T
+            # all that may be among the r best by the product, then exactly: products differ in the last places
+            size = 1.0 if cosine else (part**2).sum(1)[:, None] + (x**2).sum(1)[None, :]
+            rough = -s if cosine else size - 2 * s
+            if exclude_self:
+                rough = np.where(q_ids[low : low + step, None] == idx[None, :], np.inf, rough)
+            if r < len(idx):
+                slack = 2e-12 + 4 * x.shape[1] * np.finfo(np.float64).eps * np.max(size, axis=None if cosine else 1)
+                a, b = np.nonzero(~(rough > (np.partition(rough, r - 1, axis=1)[:, r - 1] + slack)[:, None]))
+            else:
+                a, b = np.repeat(np.arange(len(part)), len(idx)), np.tile(np.arange(len(idx)), len(part))
+            if exclude_self:
+                keep = q_ids[low + a] != idx[b]
+                a, b = a[keep], b[keep]
+            exact = np.empty(len(a))
+            for at in range(0, len(a), pairs := max(1, 8_000_000 // x.shape[1])):
+                left, right = part[a[at : at + pairs]], x[b[at : at + pairs]]
+                exact[at : at + pairs] = (left * right).sum(1) if cosine else ((left - right) ** 2).sum(1)
+            # equal to 12 places is equal: sums in another order differ beyond. Rows are in the order of idx
+            tied = np.round(exact, 12)
+            order = np.lexsort((b, -tied if cosine else tied, a))
+            first = np.searchsorted(a[order], np.arange(len(part)))
+            best = order[np.arange(len(a)) - first[a[order]] < r]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[low + a[best]]), pa.array(idx[b[best]]), pa.array(exact[best]), pa.array(tied[best])], names=["qidx", "idx", "score", "tied"])
+
+    out = _meet(q, c, kernel, schema) if r else q.sparkSession.createDataFrame([], schema)
+    return _ranked(out, [F.desc("tied") if cosine else F.col("tied"), F.col("idx")], r).drop("tied")

@@ -15,7 +15,7 @@ from ..operators.segments import SegmentedIndex, artifact_bytes, compression, in
 from ..sources import datasets
 from ..sources.text import TextBenchmark
 
-#: The dense baseline is made for no more documents than this.
+#: The dense baseline is made for no more documents than this, unless another limit is given.
 DENSE_LIMIT = 250_000
 #: Default number of results: by dataset; else all of the database.
 DEFAULT_R = {"cifar": 1000, "synthetic-text": 100}
@@ -155,8 +155,9 @@ def train_text_benchmark(spark: SparkSession, bench: TextBenchmark, root: str, c
     return {"path": path, "method": config.method, "k": config.k, "m": config.m, "items": manifest.items, "bytes": size, "compression": compression(manifest.items, bench.dim, size), "seconds": seconds}
 
 
-def query_text_benchmark(spark: SparkSession, bench: TextBenchmark, path: str, r: int = 100, dense_baseline: bool = False) -> dict:
-    """Metrics of the saved index over the queries with judgements, and of the dense ranking where asked and small enough."""
+def query_text_benchmark(spark: SparkSession, bench: TextBenchmark, path: str, r: int = 100, dense_baseline: bool = False, dense_limit: int = DENSE_LIMIT) -> dict:
+    """Metrics of the saved index over the queries with judgements, and of the dense ranking where asked for; of a corpus beyond
+    `dense_limit` its size instead, as "dense_left_out"."""
     index = SegmentedIndex(spark, path)
     manifest = index.manifest()
     if manifest.dataset != bench.name:
@@ -170,7 +171,10 @@ def query_text_benchmark(spark: SparkSession, bench: TextBenchmark, path: str, r
 
     found, seconds = _timed(lambda: measured(index.search(judged.select("idx", "vec"), r)))
     out = {"hash": found, "seconds": seconds, "queries": judged.count()}
-    if dense_baseline and bench.corpus.count() <= DENSE_LIMIT:
+    size = bench.corpus.count() if dense_baseline else 0
+    if size > dense_limit:
+        out["dense_left_out"] = size
+    elif dense_baseline:
         dense = retrieval.cosine_top_r(judged, bench.corpus, r).select(F.col("qidx").alias("query_idx"), "idx", "rank")
         out["dense"] = measured(dense.join(bench.corpus.select("idx", F.col("id").alias("doc_id")), "idx"))
     return out

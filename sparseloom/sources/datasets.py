@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .records import local_path, read_records
+from .files import is_file
+from .records import read_records
 
 #: Files of the ANN collections: (directory, kind and name of base, of queries, of ground truth).
 ANN = {
@@ -31,8 +32,8 @@ class AnnDataset:
 
 def _find(directory: str, name: str) -> str | None:
     for candidate in (name, name + ".gz"):
-        path = os.path.join(local_path(directory), candidate)
-        if os.path.isfile(path):
+        path = os.path.join(directory, candidate)
+        if is_file(path):
             return path
     return None
 
@@ -48,7 +49,7 @@ def read_ann(spark: SparkSession, root: str, name: str, max_db: int | None = Non
     if key not in ANN:
         raise ValueError(f"unknown collection {name!r}; expected one of {', '.join(ANN)}")
     d, base, query, truth = ANN[key]
-    at = lambda part, spec: (files or {}).get(part) or os.path.join(root, d, spec[1])
+    at = lambda part, spec: (files or {}).get(part) or _need(os.path.join(root, d), spec[1])
     db = read_records(spark, at("base", base), base[0], max_db)
     q = read_records(spark, at("query", query), query[0], max_queries)
     t = read_records(spark, at("truth", truth), truth[0], max_queries).withColumnRenamed("idx", "qidx")

@@ -9,9 +9,6 @@ a fixed place, so a file is cut into ranges that tasks read on their own; gzippe
 
 from __future__ import annotations
 
-import gzip
-import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import files_of, reading, size_of, writing
+
 RANGE_BYTES = 32 << 20
 _PAYLOAD = {"fvecs": "<f4", "bvecs": "u1", "ivecs": "<i4"}
 _SCHEMA = {
@@ -45,18 +44,10 @@ class Range(InputPartition):
     base: int  # idx of the file's first record
 
 
-def _open(path: str):
-    return gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb")
-
-
-def local_path(path: str) -> str:
-    return re.sub(r"^file:(//)?(?=/)", "", path)
-
-
 def layout(path: str, kind: str) -> tuple[int, int, int, int]:
     """(header bytes, record bytes, dimension, records) of a file; checks what the file says against its size."""
-    size = os.path.getsize(path)
-    with _open(path) as f:
+    size = size_of(path)
+    with reading(path) as f:
         if kind in _PAYLOAD:
             head = f.read(4)
             if len(head) < 4:
@@ -103,8 +94,7 @@ class RecordReader(DataSourceReader):
             raise ValueError(f"unknown kind {self.kind!r}; expected one of {', '.join(_SCHEMA)}")
         most = options.get("maxrecords")
         self.most = int(most) if most is not None else None
-        path = local_path(options["path"])
-        self.files = sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith((".", "_"))) if os.path.isdir(path) else [path]
+        self.files = files_of(options["path"])
 
     def partitions(self) -> list[Range]:
         out, base = [], 0
@@ -120,7 +110,7 @@ class RecordReader(DataSourceReader):
         rows_at_once = max(1, (4 << 20) // max(p.stride, 1))
         if not p.count:
             return
-        with _open(p.path) as f:
+        with reading(p.path) as f:
             labels = None
             if p.kind == "fc7":
                 f.seek(p.header + p.records * p.stride + 4 * p.first)
@@ -181,25 +171,20 @@ def write_vectors(df: DataFrame, path: str, kind: str = "fvecs", vec_col: str =
     """Vectors in the order of `order` as fvecs, bvecs or ivecs. One file is written by one task; single_file=False writes a
     directory of parts in range order, which reads back as one table. Each part gets its name only when it is complete."""
     kind_np = _PAYLOAD[kind]
-    target = local_path(path)
     rows = df.select(order, vec_col)
     rows = rows.repartition(1).sortWithinPartitions(order) if single_file else rows.repartitionByRange(order).sortWithinPartitions(order)
-    if not single_file:
-        os.makedirs(target, exist_ok=True)
 
     def run(batches):
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        final = target if single_file else os.path.join(target, f"part-{ctx.partitionId():05d}.{kind}")
-        temporary = os.path.join(os.path.dirname(final) or ".", f".{os.path.basename(final)}.{ctx.taskAttemptId()}")
+        final = path if single_file else f"{path.rstrip('/')}/part-{ctx.partitionId():05d}.{kind}"
         n = 0
-        with open(temporary, "wb") as f:
+        with writing(final, str(ctx.taskAttemptId())) as f:
             for batch in batches:
                 for v in batch.column(1).to_pylist():
                     f.write(struct.pack("<i", len(v)) + np.asarray(v).astype(kind_np).tobytes())
                     n += 1
-        os.replace(temporary, final)
         yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
     rows.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()

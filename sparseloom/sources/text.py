@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as text_fn
-from .records import local_path, read_records, write_vectors
+from .files import exists, lines_of, writing
+from .records import read_records, write_vectors
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +69,7 @@ def list_query_ids(queries: DataFrame, limit: int = 20, key: str = "_id") -> Dat
 
 def count_jsonl(spark: SparkSession, path: str) -> int:
     """Lines of a file; 0 if it is missing."""
-    return spark.read.text(path).count() if os.path.exists(local_path(path)) else 0
+    return spark.read.text(path).count() if exists(path) else 0
 
 
 def json_field(line, field: str):
@@ -77,11 +79,9 @@ def json_field(line, field: str):
 
 def read_properties(path: str) -> dict[str, str]:
     """key=value lines of a small file on the driver; {} if it is missing."""
-    p = local_path(path)
-    if not os.path.exists(p):
+    if not exists(path):
         return {}
-    with open(p, encoding="utf-8") as f:
-        return dict(line.rstrip("\n").split("=", 1) for line in f if "=" in line and not line.startswith("#"))
+    return dict(line.split("=", 1) for line in lines_of(path) if "=" in line and not line.startswith("#"))
 
 
 def embedding_model(path: str) -> str:
@@ -89,26 +89,20 @@ def embedding_model(path: str) -> str:
 
 
 def write_properties(values: dict, path: str) -> None:
-    p = local_path(path)
-    os.makedirs(os.path.dirname(p), exist_ok=True)
-    with open(p + ".tmp", "w", encoding="utf-8") as f:
-        f.writelines(f"{k}={v}\n" for k, v in values.items())
-    os.replace(p + ".tmp", p)
+    with writing(path) as f:
+        f.write("".join(f"{k}={v}\n" for k, v in values.items()).encode())
 
 
 def _write_single(df: DataFrame, path: str, header: str | None = None) -> None:
     """Rows of one string column, in the order they are in, streamed by one task into one file."""
-    target = local_path(path)
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-
     def run(batches):
-        temporary = target + ".tmp"
-        with open(temporary, "w", encoding="utf-8") as f:
+        from pyspark import TaskContext
+
+        with writing(path, str(TaskContext.get().taskAttemptId())) as f:
             if header is not None:
-                f.write(header + "\n")
+                f.write(header.encode() + b"\n")
             for batch in batches:
-                f.writelines(line + "\n" for line in batch.column(0).to_pylist())
-        os.replace(temporary, target)
+                f.write("".join(line + "\n" for line in batch.column(0).to_pylist()).encode("utf-8", "replace"))
         yield from ()
 
     df.mapInArrow(run, df.schema).write.format("noop").mode("overwrite").save()
@@ -141,8 +135,8 @@ class TextBenchmark:
 
 
 def text_benchmark_available(root: str, name: str) -> bool:
-    d = local_path(benchmark_dir(root, name))
-    return all(os.path.exists(os.path.join(d, f)) for f in ("corpus.fvecs", "corpus.ids", "query.fvecs", "query.ids", "qrels/test.tsv"))
+    d = benchmark_dir(root, name)
+    return all(exists(os.path.join(d, f)) for f in ("corpus.fvecs", "corpus.ids", "query.fvecs", "query.ids", "qrels/test.tsv"))
 
 
 def benchmark_dir(root: str, name: str) -> str:
@@ -171,8 +165,7 @@ def read_text_benchmark(spark: SparkSession, root: str, name: str) -> TextBenchm
 
 def write_text_benchmark(root: str, name: str, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, model: str) -> None:
     """corpus, queries: idx, id, vec (and text columns, which go to JSON lines)."""
-    d = local_path(benchmark_dir(root, name))
-    os.makedirs(d, exist_ok=True)
+    d = benchmark_dir(root, name)
     for part, lines, df in (("corpus", "corpus", corpus), ("query", "queries", queries)):
         write_vectors(df, os.path.join(d, f"{part}.fvecs"))
         write_ids(df, os.path.join(d, f"{part}.ids"))
@@ -183,3 +176,25 @@ def write_text_benchmark(root: str, name: str, corpus: DataFrame, queries: DataF
     dim = corpus.select(F.size("vec")).first()
     write_properties({"dataset": name, "embeddingModel": model, "corpusSize": size, "querySize": qsize, "vectorDim": dim[0] if dim else 0}, os.path.join(d, "manifest.properties"))
 
+
+#: Encodings that landed text files are tried in, one after the other; the last fits any bytes.
+ENCODINGS = ("utf-8-sig", "utf-8", "latin-1")
+
+
+def decoded_text(raw: bytes) -> str:
+    for encoding in ENCODINGS[:-1]:
+        try:
+            return raw.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return raw.decode(ENCODINGS[-1])
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """path, text of landed text files, one row each (none for an empty one); in UTF-8 with or without a mark at the beginning, else in Latin-1."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decoded_text(b) for b in batch.column(1).to_pylist()], pa.string())], names=["path", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string")

@@ -112,3 +112,21 @@ def test_graded_metrics(spark):
     assert m.ndcg_10 == pytest.approx((1 / (1 + 1 / np.log2(3)) + 1) / 2)
     better = {x.qid: x.ndcg for x in metrics.ndcg(ranking(spark, {"a": ["d1", "d2"], "b": ["y", "d3"]}), qrels, 10).collect()}
     assert better["a"] == 1 and better["b"] == pytest.approx(1 / np.log2(3)) and better["c"] == 0
+
+
+@pytest.mark.parametrize("how", ["hamming", "cosine", "l2", "extent"])
+def test_blocks_give_what_a_broadcast_gives(spark, monkeypatch, how):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((300, 8)).round(1)
+    x[50:90] = x[0]  # a mass of copies beyond any block
+    df = spark.createDataFrame([(i, v.tolist(), sorted(rng.choice(40, 4, replace=False).tolist()) if i > 60 else [1, 2, 3, 4]) for i, v in enumerate(x)], "idx long, vec array<double>, code array<int>").cache()
+    q = df.filter("idx % 2 = 0")
+    run = {"hamming": lambda: retrieval.hamming_top_r(q, df, 7, exclude_self=True), "cosine": lambda: retrieval.cosine_top_r(q, df, 7), "l2": lambda: retrieval.l2_top_r(q, df, 7, exclude_self=True), "extent": lambda: retrieval.hamming_extent(q, df)}[how]
+    rows = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect())
+    whole = rows(run())
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 40)
+    monkeypatch.setattr(retrieval, "BLOCK", 64)
+    plan = run()
+    assert rows(plan) == whole and len(whole) == (150 if how == "extent" else 1050)
+    assert "FlatMapCoGroups" in plan._jdf.queryExecution().executedPlan().toString()
+    df.unpersist()

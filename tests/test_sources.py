@@ -106,6 +106,30 @@ def test_ann_collection(spark, tmp_path):
         datasets.read_ann(spark, str(tmp_path), "other")
 
 
+def test_gzipped_records_are_all_read(spark, tmp_path):
+    """The size of a compressed file says nothing about its records."""
+    x = np.tile(np.arange(16.0), (3000, 1))  # compresses well
+    for kind, dtype, column in (("fvecs", "<f4", "vec"), ("bvecs", "u1", "vec"), ("ivecs", "<i4", "nn")):
+        got = records.read_records(spark, put(tmp_path / f"x.{kind}.gz", gzip.compress(vecs(x, dtype))), kind)
+        assert got.count() == 3000 and got.filter(f"{column}[15] = 15").count() == 3000
+        with pytest.raises(Exception, match="cut off"):
+            records.read_records(spark, put(tmp_path / f"cut.{kind}.gz", gzip.compress(vecs(x[:3], dtype)[:-1 if kind == "bvecs" else -4])), kind).count()
+    d = tmp_path / "siftsmall"
+    put(d / "siftsmall_base.fvecs.gz", gzip.compress(vecs(x, "<f4")))
+    put(d / "siftsmall_query.fvecs", vecs(x[:2], "<f4"))
+    put(d / "siftsmall_groundtruth.ivecs.gz", gzip.compress(vecs([[0], [1]], "<i4")))
+    assert datasets.read_ann(spark, f"file://{tmp_path}", "sift10k").database.count() == 3000
+    raw = np.zeros((10_000, 3073), np.uint8)
+    assert records.read_records(spark, put(tmp_path / "c.bin.gz", gzip.compress(raw.tobytes())), "cifar10").count() == 10_000
+
+
+def test_landed_texts_in_several_encodings(spark, tmp_path):
+    for name, raw in (("a.txt", "\ufeffmarked é".encode()), ("b.txt", "plain é".encode()), ("c.txt", "old é".encode("latin-1")), ("d.txt", b"")):  # an empty file gives no row
+        put(tmp_path / name, raw)
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in text.read_documents(spark, f"{tmp_path}/*.txt").collect()}
+    assert got == {"a.txt": "marked é", "b.txt": "plain é", "c.txt": "old é"}
+
+
 def test_text_formats(spark, tmp_path):
     ids = put(tmp_path / "x.ids", b" a \n\nb\nc\n")
     assert rows(text.read_ids(spark, ids), "idx", "id") == [(0, "a"), (1, "b"), (2, "c")]
