@@ -311,34 +311,37 @@ def _pack(codes: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def code_scan(q: np.ndarray, c: np.ndarray, k: int, width: int, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, shared bits) of all candidates that share as many bits as the k-th best or more.
+def code_scan(q: np.ndarray, c: np.ndarray, k: int, width: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, shared bits) of all candidates that share as many bits as the k-th best or more, and no fewer
+    than `floor` has for the query.
 
     q, c: bit positions in the order of columns. Candidates whose remaining bits cannot reach the k-th best are abandoned."""
-    active, n = q.shape[1], len(c)
+    n = len(c)
     words = -(-width // 64)
-    qw, cw = _pack(q, width), _pack(c, width)
+    qw, cw = _pack(q, width), np.ascontiguousarray(_pack(c, width).T)
     ends = [min(words, e) for e in range(WORDS_AT_ONCE, words + WORDS_AT_ONCE, WORDS_AT_ONCE)]
+    more_q = [(q >= end * 64).sum(1).astype(np.uint8) for end in ends]
+    more_c = [(c >= end * 64).sum(1).astype(np.uint8) for end in ends]
     out = ([], [], [])
-    step = max(1, PAIRS_AT_ONCE // max(1, n * WORDS_AT_ONCE))
-    kk = min(k, n)
+    step = max(1, PAIRS_AT_ONCE // max(1, n))
     for low in range(0, len(q), step):
         w = qw[low : low + step]
-        shared = np.bitwise_count(w[:, None, : ends[0]] & cw[None, :, : ends[0]]).sum(2, dtype=np.int16)
-        seeds = np.argpartition(-shared, kk - 1, axis=1)[:, :kk]
-        least = np.bitwise_count(w[:, None, :] & cw[seeds]).sum(2, dtype=np.int16).min(1) if n >= k else np.zeros(len(w), np.int16)
-        a = b = left = None
-        for start, end in zip([0, *ends[:-1]], ends):
-            if a is None:
-                a, b = np.divmod(np.arange(shared.size), n)
-                left = shared.ravel()
-            else:
-                left = left + np.bitwise_count(w[a, start:end] & cw[b, start:end]).sum(1, dtype=np.int16)
-            more_q = (q[low : low + step] >= end * 64).sum(1).astype(np.int16)
-            more_c = (c >= end * 64).sum(1).astype(np.int16)
-            stays = left + np.minimum(more_q[a], more_c[b]) >= least[a]
+        shared = np.zeros((len(w), n), np.uint8)
+        for i in range(ends[0]):
+            shared += np.bitwise_count(w[:, i, None] & cw[None, i])
+        least = np.zeros(len(w), np.uint8) if floor is None else floor[low : low + step].astype(np.uint8)
+        if n >= k:
+            seeds = np.argpartition(shared, n - k, axis=1)[:, n - k :]
+            least = np.maximum(least, sum(np.bitwise_count(w[:, i, None] & cw[i][seeds]) for i in range(words)).min(1))
+        # the first block prunes as a matrix, the others pair by pair
+        a, b = np.nonzero(shared + np.minimum(more_q[0][low : low + step, None], more_c[0][None, :]) >= least[:, None])
+        left = shared[a, b]
+        for i, (start, end) in enumerate(zip(ends, ends[1:]), 1):
+            for word in range(start, end):
+                left = left + np.bitwise_count(w[a, word] & cw[word, b])
+            stays = left + np.minimum(more_q[i][low + a], more_c[i][b]) >= least[a]
             a, b, left = a[stays], b[stays], left[stays]
-        for o, x in zip(out, (a + low, b, left)):
+        for o, x in zip(out, (a + low, b, left.astype(np.int16))):
             o.append(x)
     return tuple(np.concatenate(o) for o in out)
 
@@ -355,7 +358,8 @@ def _scan_codes(k: int, width: int, active: int):
         q = list_matrix(queries.column("code"), active)[qf].astype(np.int64)
         c = list_matrix(corpus.column("code"), active)[cf].astype(np.int64)
         # classes are named by their smallest idx
-        a, b, shared = code_scan(q, c, k, width)
+        floor = queries.column("least").to_numpy()[qf] if "least" in queries.column_names else None
+        a, b, shared = code_scan(q, c, k, width, floor)
         best = best_k(a, ci[b], shared.astype(np.int64), k)
         return pa.table([pa.array(qi[a[best]]), pa.array(ci[b[best]]), pa.array(ci[b[best]]), pa.array(shared[best].astype(np.int32))], names=names)
 
@@ -485,12 +489,17 @@ def nearest_codes(queries: DataFrame, corpus: DataFrame, k: int = K, key: str =
         found = near.join(complete, "q_class", "left_semi").select("q_class", "idx", "shared", "rank")
         out = found if out is None else out.unionByName(found)
         rest = rest.join(complete, rest["class"] == complete["q_class"], "left_anti")
-        few = rest.limit(MOST_BROADCAST + 1).toArrow().combine_chunks()
+        # what k of them share already: others must share as much
+        met = near.groupBy("q_class").agg(F.count(F.lit(1)).alias("n"), F.min("shared").alias("least")).filter(F.col("n") >= k).select(F.col("q_class").alias("class"), "least")
+        few = rest.join(met, "class", "left").select("class", "code", F.coalesce("least", F.lit(0)).alias("least")).limit(MOST_BROADCAST + 1).toArrow().combine_chunks()
         if few.num_rows <= MOST_BROADCAST:
             break
         rest = checkpoint(rest)
     if 0 < few.num_rows <= MOST_BROADCAST:
-        out = out.unionByName(expanded(whole(few)).select("q_class", "idx", "shared", "rank"))
+        found = expanded(whole(few)).select("q_class", "idx", "shared")
+        both = found.unionByName(near.join(complete, "q_class", "left_anti").select(*found.columns)).groupBy("q_class", "idx").agg(F.max("shared").alias("shared"))
+        best = Window.partitionBy("q_class").orderBy(F.desc("shared"), "idx")
+        out = out.unionByName(both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
     elif few.num_rows:
         far = expanded(meet(rest, active)).select("q_class", "idx", "shared")
         # of codes that share nothing, the smallest idx fill up
