@@ -299,7 +299,7 @@ def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int = K, key: str
 
 WIDTH, ACTIVE = 3200, 16
 #: Rarest bits whose lists a code is met in, one number after the other.
-PREFIXES = (3, 7)
+PREFIXES = (4, 7)
 WORDS_AT_ONCE = 10
 
 
@@ -422,7 +422,7 @@ def nearest_codes(queries: DataFrame, corpus: DataFrame, k: int = K, key: str =
     The result is exact. Codes that occur more than once are compared once; of each, the k smallest idx can matter.
 
     First every code is met in the lists of its rarest bits: codes that share `t` bits share one of the `active - t + 1`
-    rarest, so lists of 3 bits find all that share 14 or more. Queries whose k-th best shares fewer are compared with all codes
+    rarest, so lists of 4 bits find all that share 13 or more. Queries whose k-th best shares fewer are compared with all codes
     where they are few enough to be broadcast, else met in the lists of more bits, at last of all.
     """
     c_bit = F.array_sort(F.array_distinct(F.col(code)))
