@@ -3,8 +3,8 @@
 Strategy "gemm" (default): every corpus batch takes one matrix product with the queries and keeps its best R per query by one
 integer key (distance, then idx); the partial results, R rows per query and batch, meet in a window that Spark limits by group
 before it shuffles. Up to `QUERIES_AT_ONCE` queries are broadcast and the corpus stays where it is; more queries and the corpus
-are cut into blocks by hashes of their ids, and every two blocks meet in one cogrouped plan. Strategy "sql" is the plain join
-with a window, for small inputs and as a reference in tests.
+are cut into blocks by hashes of their ids, and every two blocks meet in one cogrouped plan. Strategy "postings" joins codes by the
+units they share, in native operators only: for codes that share few units.
 """
 
 from __future__ import annotations
@@ -106,11 +106,10 @@ def hamming_top_r(queries: DataFrame, corpus: DataFrame, r: int, strategy: str =
     q = queries.filter(F.col(code).isNotNull()).select(F.col(query_key).cast("long").alias("qidx"), F.col(code).alias("qcode"))
     c = _excluding(corpus.filter(F.col(code).isNotNull()), exclude, key)
     c = c.select((F.col(key) if dict(c.dtypes)[key] == "string" else F.col(key).cast("long")).alias("idx"), F.col(code).alias("code"))
-    if strategy == "sql":
-        met = q.join(c, F.col("qidx") != F.col("idx") if exclude_self else F.lit(True)).select("qidx", "idx", code_fn.hamming("qcode", "code").alias("distance"))
-        return _ranked(met, ["distance", "idx"], r)
+    if strategy == "postings":
+        return _ranked(_by_postings(q, c, r, exclude_self), ["distance", "idx"], r)
     if strategy != "gemm":
-        raise ValueError(f"unknown strategy {strategy!r}; expected gemm or sql")
+        raise ValueError(f"unknown strategy {strategy!r}; expected gemm or postings")
     by_text = dict(c.dtypes)["idx"] == "string"
     if by_text and exclude_self:
         raise ValueError("exclude_self needs numeric ids")
@@ -132,6 +131,25 @@ def hamming_top_r(queries: DataFrame, corpus: DataFrame, r: int, strategy: str =
     return _ranked(out, ["distance", "idx"], r)
 
 
+def _by_postings(q: DataFrame, c: DataFrame, r: int, exclude_self: bool) -> DataFrame:
+    """qidx, idx, distance of all codes that share a unit with the query, and of the r with the fewest units, of which any code
+    that shares nothing and is among the r best must be one."""
+    cs = c.withColumn("size", F.size("code"))
+    met = q.select("qidx", F.size("qcode").alias("qsize"), F.explode("qcode").alias("unit")).join(cs.select("idx", "size", F.explode("code").alias("unit")), "unit")
+    if exclude_self:
+        met = met.filter(F.col("qidx") != F.col("idx"))
+    near = met.groupBy("qidx", "idx").agg((F.min("qsize") + F.min("size") - 2 * F.count(F.lit(1)).cast("int")).alias("distance"))
+    few = cs.select("size", "idx").orderBy("size", "idx").limit(r + int(exclude_self)).collect()  # r rows
+    if not few:
+        return near
+    kind = dict(c.dtypes)["idx"]
+    rest = F.explode(F.array(*(F.struct(F.lit(x.idx).cast(kind).alias("idx"), F.lit(x.size).alias("size")) for x in few)))
+    filled = q.select("qidx", F.size("qcode").alias("qsize"), rest.alias("x")).select("qidx", "x.idx", (F.col("qsize") + F.col("x.size")).alias("distance"))
+    if exclude_self:
+        filled = filled.filter(F.col("qidx") != F.col("idx"))
+    return near.unionByName(filled).groupBy("qidx", "idx").agg(F.min("distance").alias("distance"))
+
+
 def hamming_extent(queries: DataFrame, corpus: DataFrame, query_key: str = "idx", code: str = "code") -> DataFrame:
     """qidx, low, high: the least and greatest distance of every query to the corpus."""
     q = queries.filter(F.col(code).isNotNull()).select(F.col(query_key).cast("long").alias("qidx"), F.col(code).alias("qcode"))

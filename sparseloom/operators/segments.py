@@ -82,7 +82,10 @@ class SegmentedIndex:
         versions = self._versions()
         if not versions:
             raise FileNotFoundError(f"no index at {self.path}")
-        fs, path = file_system(self.spark, self._at("manifests", f"{versions[-1]:06d}.json"))
+        return self._read_manifest(versions[-1])
+
+    def _read_manifest(self, version: int) -> Manifest:
+        fs, path = file_system(self.spark, self._at("manifests", f"{version:06d}.json"))
         stream = fs.open(path)
         try:
             raw = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -210,6 +213,42 @@ class SegmentedIndex:
         merged = Segment(0, last.encoder, last.config, last.steps, n, (codes,), _now())
         return self._commit(replace(m, segments=(merged,)))
 
+    def compact(self) -> Manifest:
+        """Each segment's code folders written as one, without training or encoding. Of the batches of a stream (name-number) only
+        the last is remembered, which is the one that can be replayed."""
+        m = self.manifest()
+        segments = []
+        for s in m.segments:
+            if len(s.codes) > 1:
+                codes, _ = self._write_codes(self.spark.read.parquet(*(self._at(c) for c in s.codes)))
+                s = replace(s, codes=(codes,))
+            segments.append(s)
+        last: dict[str, tuple[int, str]] = {}
+        for b in m.batches:
+            name, _, number = b.rpartition("-")
+            key, at = (name, int(number)) if name and number.isdigit() else (b, 0)
+            last[key] = max(last.get(key, (-1, "")), (at, b))
+        return self._commit(replace(m, segments=tuple(segments), batches=tuple(b for _, b in sorted(last.values()))))
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes manifests but the last `keep` and the folders that none of those names; returns how many folders. Readers of
+        older manifests, and writers at work, must be done."""
+        versions = self._versions()
+        used = set()
+        for v in versions[-keep:]:
+            for s in self._read_manifest(v).segments:
+                used |= {*s.codes, s.encoder}
+        gone = 0
+        for kind in ("codes", "weights"):
+            fs, path = file_system(self.spark, self._at(kind))
+            for f in fs.listStatus(path) if fs.exists(path) else ():
+                if f"{kind}/{f.getPath().getName()}" not in used:
+                    gone += bool(fs.delete(f.getPath(), True))
+        for v in versions[:-keep]:
+            fs, path = file_system(self.spark, self._at("manifests", f"{v:06d}.json"))
+            fs.delete(path, False)
+        return gone
+
     # ---- search
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions import codes, text, topk, vec
 from ..operators import metrics, retrieval, splits, textprep
 from ..operators.encoders import Encoder, HebbianConfig, ProjectionConfig, SignConfig, encode, score_rows
 from ..operators.segments import SegmentedIndex, merge_candidates, segment_candidates
-from ..operators.trainer import train_more, weights_frame
+from ..operators.trainer import train, train_more, weights_frame
 from ..session import checkpoint, remove, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,13 +50,23 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 def coded_weights(m: int = M, dim: int = D, seed: int = 0) -> np.ndarray:
     mu, i = np.meshgrid(np.arange(m), np.arange(dim), indexing="ij")
-    return ((mu * 7919 + i * 104729 + mu * i * 31 + seed * 613) % 2003 - 1001) / 1001.0
+    base = modulus(m)
+    return ((mu * 7919 + i * 104729 + mu * i * 31 + seed * 613) % base - base // 2) / (base // 2)
+
+
+def modulus(m: int) -> int:
+    """A prime beyond the number of units, so that no two are the same."""
+    return 2003 if m < 2003 else 6007
 
 
 def hebbian(m: int = M, k: int = K, seed: int = 0, **more) -> Encoder:
     return Encoder(HebbianConfig(D, m, k, **more), coded_weights(m, seed=seed))
 
 
+#: The width of the published setting: 32 of 3,200 units.
+WIDE_M, WIDE_K = 3200, 32
+
+
 def projection() -> Encoder:
     mu, i = np.meshgrid(np.arange(M), np.arange(D), indexing="ij")
     return Encoder(ProjectionConfig(D, M, K), np.where((mu * 37 + i * 11) % 10 == 0, coded_weights(), 0.0))
@@ -72,12 +82,12 @@ def coded(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- SQL pieces
 
-_W = "((mu * 7919 + i * 104729 + mu * i * 31 + {seed} * 613) % 2003 - 1001) / 1001.0::DOUBLE"
+_W = "((mu * 7919 + i * 104729 + mu * i * 31 + {seed} * 613) % {base} - {base} // 2) / ({base} // 2)::DOUBLE"
 _E = "e AS (SELECT vec_id AS idx, embedding::DOUBLE[] AS vec, label FROM embeddings)"
 
 
 def _scores(m: int = M, seed: int = 0, mask: str = "TRUE", source: str = "e") -> str:
-    w = _W.format(seed=seed)
+    w = _W.format(seed=seed, base=modulus(m))
     return f"""w AS (SELECT mu, list(CASE WHEN {mask} THEN {w} ELSE 0 END ORDER BY i) AS w FROM range({m}) a(mu), range({D}) b(i) GROUP BY mu),
 s AS (SELECT idx, mu, list_dot_product(vec, w) AS score FROM {source}, w)"""
 
@@ -188,6 +198,18 @@ def encode_columns(spark, d):
     return encode(embeddings(spark, d), hebbian(16, 4), engine="hof")
 
 
+@query(f"WITH {_E}, {_codes(m=WIDE_M, k=WIDE_K)} SELECT idx, code FROM c")
+def encode_wide(spark, d):
+    """Codes at the published width."""
+    return encode(embeddings(spark, d), hebbian(WIDE_M, WIDE_K))
+
+
+@query(f"WITH {_E}, {_codes(m=WIDE_M, k=WIDE_K)}, {_ranked()} SELECT * FROM r")
+def hamming_topr_wide(spark, d):
+    c = checkpoint(encode(embeddings(spark, d), hebbian(WIDE_M, WIDE_K)))
+    return retrieval.hamming_top_r(c.filter(is_query()), c, R)
+
+
 @query(f"WITH {_E}, {_codes(mask='(mu * 37 + i * 11) % 10 = 0')} SELECT idx, code FROM c")
 def encode_projection(spark, d):
     return encode(embeddings(spark, d), projection())
@@ -226,7 +248,7 @@ def hamming_topr(spark, d):
 @query(f"WITH {_E}, {_codes()}, {_ranked()} SELECT * FROM r")
 def hamming_topr_join(spark, d):
     c = coded(spark, d)
-    return retrieval.hamming_top_r(c.filter(is_query()), c, R, strategy="sql")
+    return retrieval.hamming_top_r(c.filter(is_query()), c, R, strategy="postings")
 
 
 @query(f"WITH {_E}, {_codes()}, {_ranked('a.idx <> b.idx')} SELECT * FROM r")
@@ -276,7 +298,7 @@ def _trained(spark, d, **more):
 
 
 def _train_sql(delta: float = 0.0, anti: int = 2) -> str:
-    w = _W.format(seed=0)
+    w = _W.format(seed=0, base=modulus(_TRAIN_M))
     unit = lambda row: f"list_transform({row}, lambda q: q / sqrt(list_dot_product({row}, {row})))"
     gain = f"CASE WHEN mu = best THEN 1.0 WHEN {delta} <> 0 AND mu = other THEN -{delta} ELSE 0.0 END"
     return f"""
@@ -320,6 +342,15 @@ def train_then_encode(spark, d):
     return encode(embeddings(spark, d), _trained(spark, d))
 
 
+@query()
+def train_wide(spark, d):
+    """Units learned at the published width in three epochs, and the ranking by their codes."""
+    e = embeddings(spark, d)
+    encoder = train(e.select("idx", "vec"), HebbianConfig(D, WIDE_M, WIDE_K, epochs=3, normalize_inputs=True, seed=42))
+    c = checkpoint(encode(e, encoder))
+    return retrieval.hamming_top_r(c.filter(is_query()), c, R)
+
+
 # ---- metrics. Judgements from labels: same label 1, among the 5 nearest by cosine 2.
 
 _LABELS = "q AS (SELECT idx AS qid, label FROM e WHERE idx % 50 = 0)"
@@ -467,7 +498,7 @@ def _segments(spark, d, normalized: bool):
 def _segment_sql(normalized: bool, merged: bool) -> str:
     ctes = [_E]
     for s in range(_SEGMENTS):
-        w = _W.format(seed=s)
+        w = _W.format(seed=s, base=modulus(M))
         ctes += [
             f"w{s} AS (SELECT mu, list({w} ORDER BY i) AS w FROM range({M}) a(mu), range({D}) b(i) GROUP BY mu)",
             f"c{s} AS (SELECT idx, list(mu ORDER BY mu) AS code FROM (SELECT idx, mu, row_number() OVER (PARTITION BY idx ORDER BY list_dot_product(vec, w) DESC, mu) AS r FROM e, w{s}) WHERE r <= {K} GROUP BY idx)",

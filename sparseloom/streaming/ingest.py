@@ -21,8 +21,9 @@ def usable(items: DataFrame, dim: int) -> DataFrame:
     return items.filter(F.coalesce((F.size("vec") == dim) & vec.is_finite(vec.as_double("vec")), F.lit(False)) & F.col("id").isNotNull())
 
 
-def append_batch(index: SegmentedIndex, query_name: str = "ingest", rejected: Callable[[DataFrame, int], None] | None = None, improve_every: int | None = None):
-    """A function for foreachBatch: items are id, vec[, idx]. With improve_every, every so many batches train the encoder on."""
+def append_batch(index: SegmentedIndex, query_name: str = "ingest", rejected: Callable[[DataFrame, int], None] | None = None, improve_every: int | None = None, compact_every: int | None = 64):
+    """A function for foreachBatch: items are id, vec[, idx]. With improve_every, every so many batches train the encoder on; after
+    every compact_every batches the folders they wrote become one."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         dim = index.manifest().vector_dim
@@ -31,6 +32,8 @@ def append_batch(index: SegmentedIndex, query_name: str = "ingest", rejected: Ca
         if rejected is not None:
             rejected(batch.join(good.select("id"), "id", "left_anti"), batch_id)
         name = f"{query_name}-{batch_id}"
+        if compact_every and batch_id and batch_id % compact_every == 0 and name not in index.manifest().batches:
+            index.compact()
         if improve_every and batch_id % improve_every == improve_every - 1:
             if name not in index.manifest().batches and not rows.isEmpty():
                 index.improve(rows, batch_id=name)

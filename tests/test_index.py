@@ -142,3 +142,21 @@ def test_idx_column_is_in_order(spark, index):
     index.append(items(spark, [(1, "b", [0.0, 1.0, 0.0]), (0, "a", [1.0, 0.0, 0.0])]))
     assert [(r.idx, r.id) for r in index.codes().orderBy("idx").collect()][-2:] == [(4, "a"), (5, "b")]
     assert index.codes().select(F.countDistinct("idx")).first()[0] == 6
+
+
+def test_compact_and_vacuum(spark, index):
+    e = Encoder(HebbianConfig(4, 8, 2), np.random.default_rng(0).standard_normal((8, 4)))
+    df = spark.createDataFrame([(i, f"d{i}", np.random.default_rng(i).standard_normal(4).tolist()) for i in range(40)], "idx long, id string, vec array<double>")
+    part = lambda k: df.filter(f"idx % 4 = {k}").selectExpr("cast(floor(idx / 4) AS long) AS idx", "id", "vec")
+    index.create(part(0), e.config, encoder=e)
+    for k in (1, 2, 3):
+        index.append(part(k), batch_id=f"in-{k}")
+    before = sorted(map(tuple, index.codes().select("idx", "id").collect()))
+    m = index.compact()
+    assert [len(s.codes) for s in m.segments] == [1] and m.batches == ("in-3",)
+    assert sorted(map(tuple, index.codes().select("idx", "id").collect())) == before
+    index.validate()
+    assert index.append(part(3), batch_id="in-3").version == m.version  # the last batch is still known
+    # four folders of codes, and the codes and weights of the index that was replaced
+    assert index.vacuum(keep=1) == 6 and index.vacuum(keep=1) == 0
+    assert sorted(map(tuple, index.codes().select("idx", "id").collect())) == before and index.manifest().version == m.version

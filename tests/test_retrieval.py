@@ -30,7 +30,7 @@ def test_random_against_a_loop(spark):
         db = [sorted(rng.choice(m, int(rng.integers(1, k + 1)), replace=False).tolist()) for _ in range(n)]
         qs = [sorted(rng.choice(m, k, replace=False).tolist()) for _ in range(4)]
         expected = [x for q in qs for x in sorted((len(q) + len(c) - 2 * len(set(q) & set(c)), i) for i, c in enumerate(db))[:r]]
-        for strategy in ("gemm", "sql"):
+        for strategy in ("gemm", "postings"):
             got = found(retrieval.hamming_top_r(codes(spark, qs), codes(spark, db).repartition(3), r, strategy))
             assert [(d, i) for i, d in got] == expected
 
@@ -40,7 +40,7 @@ def test_many_queries_go_in_chunks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [sorted(rng.choice(30, 3, replace=False).tolist()) for _ in range(20)]
     a = found(retrieval.hamming_top_r(codes(spark, rows), codes(spark, rows), 3))
-    assert a == found(retrieval.hamming_top_r(codes(spark, rows), codes(spark, rows), 3, "sql"))
+    assert a == found(retrieval.hamming_top_r(codes(spark, rows), codes(spark, rows), 3, "postings"))
 
 
 def test_text_ids_and_extent(spark):

@@ -115,3 +115,31 @@ def test_encode_rejects_bad_vectors(spark):
         df = spark.createDataFrame([(0, bad)], "idx long, vec array<double>")
         with pytest.raises(Exception, match="entries|finite|null"):
             encode(df, e).collect()
+
+
+def test_the_published_width_against_loops(spark):
+    """Training, codes and ranking with 32 of 3,200 units, every step by hand."""
+    from sparseloom.operators.retrieval import hamming_top_r
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((30, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = frame(spark, x)
+    start = Encoder(HebbianConfig(16, 3200, 32, learning_rate=0.05), rng.standard_normal((3200, 16)))
+    learned = trainer.train_more(df, start, epochs=2, shuffle=False)
+    w = start.weights.copy()
+    for _ in range(2):
+        for v in x:
+            s = w @ v
+            best = int(np.argmax(s))
+            w[best] += 0.05 * (v - s[best] * w[best])
+            if learned.config.renormalize_weights:
+                w[best] /= np.linalg.norm(w[best])
+    assert np.allclose(learned.weights, w)
+    codes = {r.idx: r.code for r in encode(df, learned).collect()}
+    assert all(codes[i] == sorted(np.argsort(-(w @ v), kind="stable")[:32].tolist()) for i, v in enumerate(x))
+    c = encode(df, learned)
+    got = {}
+    for r in hamming_top_r(c.filter("idx < 5"), c, 4).orderBy("qidx", "rank").collect():
+        got.setdefault(r.qidx, []).append((r.distance, r.idx))
+    assert got == {i: sorted((64 - 2 * len(set(codes[i]) & set(codes[j])), j) for j in codes)[:4] for i in range(5)}
