@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 BANDS = ("easy", "medium", "hard")
-#: Words with a frequency of their own; all others count as rare as the last of these. Bounds what is broadcast.
+#: Words with a frequency of their own; the others have their mean frequency. Bounds what is broadcast.
 VOCABULARY = 50_000
 #: The most labelled documents the model is fitted on, chosen by a hash of doc_id.
 LABELLED_ROWS = 20_000
@@ -48,8 +48,9 @@ _CONNECTIVES = {
     "pl": "że ponieważ podczas gdy chociaż choć aby żeby dopóki który która które zanim jeśli bo",
     "ru": "что потому пока хотя когда если чтобы который которая где так как прежде ибо поскольку",
 }
-LANGS = tuple(_STOP)
-_stop_bits = {w: sum(1 << i for i, l in enumerate(LANGS) if w in _STOP[l].split()) for l in LANGS for w in _STOP[l].split()}
+#: Texts without any function word of these are of no known language, and have no slopes of their own unless some are labelled.
+LANGS = (*_STOP, "und")
+_stop_bits = {w: sum(1 << i for i, l in enumerate(_STOP) if w in _STOP[l].split()) for l in _STOP for w in _STOP[l].split()}
 _connectives = {w for words in _CONNECTIVES.values() for w in words.split()}
 
 _token = re.compile(r"[^\W\d_]+|,|[.!?…]+[\"”’»“)\]]*\s|[\n\r]+|\x00")
@@ -130,7 +131,8 @@ def features(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.nda
     safe = np.maximum(n, 1)
     mean = lambda x: np.bincount(d, weights=x, minlength=docs) / safe
     stops = np.array(words.stops)[w]
-    lang = np.argmax(np.stack([np.bincount(d, weights=(stops >> i) & 1, minlength=docs) for i in range(len(LANGS))], 1), axis=1) if len(w) else np.zeros(docs, int)
+    hits = np.stack([np.bincount(d, weights=(stops >> i) & 1, minlength=docs) for i in range(len(_STOP))], 1) if len(w) else np.zeros((docs, len(_STOP)))
+    lang = np.where(hits.any(1), np.argmax(hits, axis=1), len(_STOP))
     # sentences that have words
     first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, int)
     sl = np.diff(np.r_[first, len(s)]).astype(float)
@@ -206,10 +208,11 @@ def document_features(documents: DataFrame) -> DataFrame:
     """doc_id, words, lang_no, x (features) of the documents with running prose."""
     texts = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = checkpoint(texts.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 1
+    total, different = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     rarity = {r.word: float(np.log(total / r.n)) for r in top}
-    rarest = float(np.log(total / top[-1].n)) if top else 0.0
+    others, left = different - len(top), (total or 0) - sum(r.n for r in top)
+    rarest = float(np.log(total / (left / others))) if others else float(np.log(max(total or 1, 1)))
     shared = documents.sparkSession.sparkContext.broadcast((rarity, rarest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +244,7 @@ def _labelled(labels: DataFrame, rows: DataFrame, most: int) -> tuple[np.ndarray
 
 
 def reading_level(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """doc_id, band, score, words, language (as told from function words) of every document with running prose.
+    """doc_id, band, score, words, language (as told from function words, "und" without any) of every document with running prose.
 
     Null and blank texts, and those of which only logs, tables or figures would be left, give no row. A document of which
     readers named more than one band, or another than easy, medium and hard, does not count as labelled; repeated labels
