@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,13 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def at_once(spark: SparkSession, *parts: Callable[[], DataFrame]) -> list[DataFrame]:
+    """What the parts give, each made in a thread of its own: parts that run jobs while they are made, many of them too small for all
+    cores, share the cluster instead of waiting for each other."""
+    with ThreadPoolExecutor(len(parts)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(p)) for p in parts]]
+
+
 def usable_vector(vec: str | Column, dim: int = DIM) -> Column:
     """Not null, `dim` entries, all finite, not all zero (a zero vector has no direction)."""
     v = F.col(vec) if isinstance(vec, str) else vec

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks, garble, mix, nearest, overlap, pack, reading, spectral, tokens, topn
-from .common import read
+from .common import at_once, read
 
 
 def _clusters(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -16,19 +17,24 @@ def _clusters(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    both = _clusters(spark, d, "corpus").unionByName(_clusters(spark, d, "labeled"))
+    parts = at_once(spark, *(partial(_clusters, spark, d, t) for t in ("corpus", "labeled")))
+    both = parts[0].unionByName(parts[1])
     return both.filter("size >= 3 and tight and isolated").select("table_name", "idx", F.col("cluster").alias("cluster_idx"))
 
 
 def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
-    parts = [spectral.describe(_clusters(spark, d, t)).withColumn("table_name", F.lit(t)) for t in ("corpus", "labeled")]
-    return parts[0].unionByName(parts[1])
+    parts = at_once(spark, *(partial(_clusters, spark, d, t) for t in ("corpus", "labeled")))
+    described = [spectral.describe(p).withColumn("table_name", F.lit(t)) for p, t in zip(parts, ("corpus", "labeled"))]
+    return described[0].unionByName(described[1])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    dense = nearest.nearest_vectors(read(spark, d, "queries"), read(spark, d, "corpus"), 5)
     codes = read(spark, d, "sparse_codes")
-    code = nearest.nearest_codes(codes.filter("role = 'query'"), codes.filter("role = 'corpus'"), 5)
+    dense, code = at_once(
+        spark,
+        lambda: nearest.nearest_vectors(read(spark, d, "queries"), read(spark, d, "corpus"), 5),
+        lambda: nearest.nearest_codes(codes.filter("role = 'query'"), codes.filter("role = 'corpus'"), 5),
+    )
     out = dense.select(F.lit("dense").alias("space"), "query_idx", F.col("idx").alias("corpus_idx"))
     return out.unionByName(code.select(F.lit("code").alias("space"), "query_idx", F.col("idx").alias("corpus_idx")))
 

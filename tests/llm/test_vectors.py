@@ -74,6 +74,53 @@ def test_nearest_ties_repeats_and_bad_rows(spark):
     assert [(r.query_idx, r.idx, r["rank"]) for r in got] == [(0, 3, 1), (0, 5, 2), (0, 9, 3)]
 
 
+def test_hot_lists_are_cut_on_both_sides(spark, monkeypatch):
+    """Queries and corpus rows of one direction: no group holds much more than a block of either side, and every two blocks meet."""
+    monkeypatch.setattr(coarse, "BLOCK", 1000)
+    v = [1.0] + [0.5] * 63
+    q = spark.range(20_000).select(F.col("id").alias("idx"), F.array(*(F.lit(x) for x in v)).alias("vec"))
+    c = spark.range(5_000).select((F.col("id") + 100_000).alias("idx"), F.array(*(F.lit(x) if i else F.lit(x) + F.col("id") * 1e-6 for i, x in enumerate(v))).alias("vec"))
+    lists = coarse.fit(c, 64, count=5_000)
+    qb, cb = coarse.count_blocks(q, 20_000, lists, 2, 64), coarse.count_blocks(c, 5_000, lists, 1, 64)
+    schema = "list int, own_block int, other_block int, idx long, u array<double>"
+    left = q.mapInArrow(nearest._placer(lists, 2, 64, qb, cb), schema).groupBy("list", F.col("own_block").alias("q"), F.col("other_block").alias("c")).count()
+    right = c.mapInArrow(nearest._placer(lists, 1, 64, cb, qb, 5), schema).groupBy("list", F.col("own_block").alias("c"), F.col("other_block").alias("q")).count()
+    assert left.agg(F.max("count")).first()[0] <= 1300 and right.agg(F.max("count")).first()[0] <= 1300
+    met = left.join(right, ["list", "q", "c"]).count()
+    assert met == left.join(right, "list", "left_semi").count() == right.join(left, "list", "left_semi").count() >= 20
+
+
+def test_copies_beyond_k_stay_behind():
+    u = np.repeat(np.eye(4), [6, 1, 3, 2], axis=0)
+    idx = np.array([9, 4, 7, 1, 3, 3, 20, 5, 5, 2, 8, 6])
+    keep = nearest._few_copies(idx, u, 2)
+    assert sorted(idx[keep].tolist()) == sorted([1, 3, 20, 2, 5, 6, 8])
+
+
+def test_two_levels_of_lists(spark):
+    """More lists than centres: neighbours still lie in the lists that are probed, and every row is in one."""
+    c, _ = clustered(5, [20] * 120)
+    rows = frame(spark, enumerate(c)).select("idx", "vec")
+    lists = coarse.fit(rows, 64, rows_per_list=4, most=30)
+    assert lists.count >= 500 and len(lists.centres) == 30
+    u = unit(c)
+    home, near = lists.nearest(u)[:, 0], lists.nearest(u, 12)
+    assert (near[:, 0] == home).mean() > 0.97 and home.max() < lists.count
+    best = brute(c[::7], c, 5)
+    assert np.mean([home[j] in near[7 * i] for i, b in enumerate(best) for j in b]) >= 0.97
+
+
+def test_more_lists_are_probed_where_neighbours_scatter(spark):
+    scattered = frame(spark, enumerate(np.random.default_rng(4).standard_normal((1500, 64)))).select("idx", "vec")
+    grouped = frame(spark, enumerate(clustered(1, [15] * 100)[0])).select("idx", "vec")
+    probes = {}
+    for name, df in (("scattered", scattered), ("grouped", grouped)):
+        lists = coarse.fit(df, 64, rows_per_list=20)
+        probes[name] = nearest.measured_probes(df, df, lists, 5, 64)
+        assert probes[name] <= lists.count
+    assert probes["grouped"] < 25 < probes["scattered"]
+
+
 def test_nearest_empty(spark):
     some, none = frame(spark, [(0, np.ones(64))]), frame(spark, [])
     assert nearest.nearest_vectors(none, some).count() == 0 and nearest.nearest_vectors(some, none).count() == 0
