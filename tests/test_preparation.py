@@ -66,3 +66,20 @@ def test_documents_and_questions(spark):
     vectors = [r.vec for r in out["corpus"].collect()]
     assert np.allclose(np.linalg.norm(vectors, axis=1), 1) and [r.doc_id for r in out["queries"].collect()] == ["a"]
     assert textprep.keep_judged(out["qrels"], out["corpus"].limit(1), out["queries"]).count() == 1
+
+
+def test_the_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace as Fake
+
+    from sparseloom import session
+
+    def at(master, folder=None):
+        conf = Fake(get=lambda *_: folder)
+        return Fake(sparkContext=Fake(master=master, getConf=lambda: conf), conf=conf)
+
+    assert session.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert session.shared_folder(at("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
+    assert session.shared_folder(at("local[4]")) == session.shared_folder(at("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            session.shared_folder(at(master))
