@@ -103,29 +103,28 @@ def _canonical(dim: int, seed: int):
 
 
 def _poster(frames: list[int], hashes: int, seed: int, dim: int):
-    """rep, h1, h2, form -> a row with the whole form's hash and one for every hash that near forms share: whole, key, rep,
-    sketch. Of the sketch the `TAG` lowest bits are the class's (an idx may have several vectors, so several classes of its name)."""
+    """rep, h1, h2, form -> a row with the whole form's hash (its key is negative) and one for every hash that near forms share:
+    key, rep, sketch. The `TAG` lowest bits of a whole key and of a near sketch are the class's: an idx may have several vectors, so
+    several classes of its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
         turn = sketch_frame(dim)
         axes = [[rng.standard_normal((dim, n)).astype(np.float32) for n in frames] for _ in range(hashes)]
-        names = ["whole", "key", "rep", "sketch", "tag"]
+        names = ["key", "rep", "sketch"]
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
             rep, h1 = batch.column(0), batch.column(1).to_numpy()
-            tag = h1 & np.int64((1 << TAG) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), batch.column(1), rep, batch.column(2), pa.array(tag.astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(h1 | np.int64(-(1 << 63))), rep, batch.column(2)], names=names)
             form = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
-            sketch, near = pa.array((sketched(form, turn) << (TAG + BITS * np.arange(SKETCH))).sum(1) | tag), pa.array(np.zeros(n, bool))
-            no_tag = pa.nulls(n, pa.int32())
+            sketch = pa.array((sketched(form, turn) << (TAG + BITS * np.arange(SKETCH))).sum(1) | (h1 & np.int64((1 << TAG) - 1)))
             for table, parts in enumerate(axes):
                 key = np.full(n, table, np.int64)
                 for frame in parts:
                     key = key * (2 * frame.shape[1]) + nearest_axis(form @ frame)
-                yield pa.RecordBatch.from_arrays([near, pa.array(key), rep, sketch, no_tag], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(key), rep, sketch], names=names)
 
     return run
 
@@ -153,8 +152,8 @@ def class_pairs(df: DataFrame, is_train: Column, key: str = "idx", vec: str = "v
         hashed = mine.mapInArrow(_canonical(dim, seed), "idx long, h1 long, h2 long, form binary")
         # combined before the shuffle, so that a mass of copies is a row per task
         reps = hashed.groupBy("h1", "h2").agg(F.min(F.struct("idx", "form")).alias("r")).select(F.col("r.idx").alias("rep"), "h1", "h2", F.col("r.form").alias("form"))
-        posted = reps.mapInArrow(_poster(frames, hashes, seed + 1, dim), "whole boolean, key long, rep long, sketch long, tag int")
-        return mine, hashed, posted.select("whole", "key", F.col("rep").alias(f"{name}_rep"), F.col("sketch").alias(f"{name}_sketch"), F.col("tag").alias(f"{name}_tag"))
+        posted = reps.mapInArrow(_poster(frames, hashes, seed + 1, dim), "key long, rep long, sketch long")
+        return mine, hashed, posted.select("key", F.col("rep").alias(f"{name}_rep"), F.col("sketch").alias(f"{name}_sketch"))
 
     (e_rows, e_hashed, e), (t_rows, t_hashed, t) = side(False, "eval"), side(True, "train")
     # evaluation hashes meet training hashes: whole ones are exact matches if both halves agree, the others candidates for near
@@ -162,9 +161,10 @@ def class_pairs(df: DataFrame, is_train: Column, key: str = "idx", vec: str = "v
     level = lambda side, i: F.shiftright(f"{side}_sketch", TAG + BITS * i).bitwiseAND(F.lit(2**BITS - 1))
     apart = [F.abs(level("eval", i) - level("train", i)) for i in range(SKETCH)]
     close = sum(apart[1:], apart[0]) <= sketch_reach(min_cosine, dim)
-    met = e.join(t, ["whole", "key"]).filter(F.when(F.col("whole"), same).otherwise(close))
-    tag = lambda side: F.coalesce(F.col(f"{side}_tag"), F.col(f"{side}_sketch").bitwiseAND(low).cast("int")).alias(f"{side}_tag")
-    met = small(met.groupBy("eval_rep", tag("eval"), "train_rep", tag("train")).agg(F.max("whole").alias("exact")))
+    whole = F.col("key") < 0
+    met = e.join(t, "key").filter(F.when(whole, same).otherwise(close))
+    tag = lambda side: F.when(whole, F.col("key")).otherwise(F.col(f"{side}_sketch")).bitwiseAND(low).cast("int").alias(f"{side}_tag")
+    met = small(met.groupBy("eval_rep", tag("eval"), "train_rep", tag("train")).agg(F.max(whole).alias("exact")))
 
     near = met.filter("not exact")
     va = e_rows.select(F.col("idx").alias("eval_rep"), F.col("vec").alias("va")).join(near, "eval_rep")
