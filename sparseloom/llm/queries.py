@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +11,17 @@ from . import chunks, garble, mix, nearest, overlap, pack, reading, spectral, to
 from .common import at_once, read
 
 
-def _clusters(spark: SparkSession, d: str, table: str) -> DataFrame:
-    return spectral.spectral_clusters(read(spark, d, table)).withColumn("table_name", F.lit(table))
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    return spectral.table_clusters({t: read(spark, d, t) for t in ("corpus", "labeled")})
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = at_once(spark, *(partial(_clusters, spark, d, t) for t in ("corpus", "labeled")))
-    both = parts[0].unionByName(parts[1])
-    return both.filter("size >= 3 and tight and isolated").select("table_name", "idx", F.col("cluster").alias("cluster_idx"))
+    return _clusters(spark, d).filter("size >= 3 and tight and isolated").select("table_name", "idx", F.col("cluster").alias("cluster_idx"))
 
 
 def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
-    parts = at_once(spark, *(partial(_clusters, spark, d, t) for t in ("corpus", "labeled")))
-    described = [spectral.describe(p).withColumn("table_name", F.lit(t)) for p, t in zip(parts, ("corpus", "labeled"))]
-    return described[0].unionByName(described[1])
+    clusters = spectral.describe(_clusters(spark, d), by=("table_name",))
+    return clusters.select("cluster", "size", "tight", "typical", "affinity", "table_name")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -216,6 +216,32 @@ def test_clusters_of_copies_and_of_nothing(spark):
     assert spectral.describe(spectral.spectral_clusters(frame(spark, [(0, np.ones(64))]))).count() == 0
 
 
+def jobs_of(spark, name, make):
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        return make().collect(), len(sc.statusTracker().getJobIdsForGroup(name))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_two_tables_share_their_jobs(spark, tmp_path):
+    from sparseloom.llm import queries
+
+    # the same idx in both tables, in other groups; two of the second are where one of the first is
+    groups = {"corpus": [4, 3, 1, 6], "labeled": [1, 5, 2, 3]}
+    vectors = {t: clustered(5 + i, sizes, noise=0.015) for i, (t, sizes) in enumerate(groups.items())}
+    vectors["labeled"][0][6:8] = vectors["corpus"][0][:2]
+    for t, (x, _) in vectors.items():
+        frame(spark, list(enumerate(x))).write.parquet(f"{tmp_path}/{t}.parquet")
+    _, one = jobs_of(spark, "one table", lambda: spectral.spectral_clusters(spark.read.parquet(f"{tmp_path}/corpus.parquet")))
+    out, two = jobs_of(spark, "two tables", lambda: queries.p1_found(spark, str(tmp_path)))
+    assert {tuple(r) for r in out} == {(t, i, int(np.flatnonzero(g == g[i])[0])) for t, (_, g) in vectors.items() for i in range(len(g)) if (g == g[i]).sum() >= 3}
+    assert two < 1.5 * one
+    described = queries.p1_clusters(spark, str(tmp_path)).collect()
+    assert {(r.table_name, r.cluster, r["size"]) for r in described} == {(t, int(np.flatnonzero(g == k)[0]), n) for t, (_, g) in vectors.items() for k, n in enumerate(groups[t]) if n >= 2}
+
+
 # ---- overlap
 
 
