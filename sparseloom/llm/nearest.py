@@ -4,12 +4,13 @@ Adaptive dimension scan. Vectors are brought to unit length, rotated at random a
 query goes to its nearest lists, so many that a sample of queries finds what the whole corpus has; within a list the distance is
 summed over blocks of columns, and after every block a hypothesis test (Gao and Long's bound for randomly rotated vectors)
 abandons the candidates whose partial distance is too large for the k-th best so far, which falls from part to part of a list.
+While many of a part survive, the next block is added for all its pairs by one product, else for the survivors one by one.
 What survives is measured in full, exactly. Long lists are cut into blocks on both sides, each query block meeting each corpus
 block of its list, so that no task holds more than a block of either side. Queries whose lists hold fewer than k scan the whole corpus.
 
 Sparse codes have the same scan in their own space: bits are put in order of rarity, a code is stored in the lists of its
-rarest bits, shared bits are counted over blocks of columns, and a candidate is abandoned as soon as the bits that are left
-cannot bring it to the k-th best. Here the test is a bound and the result exact.
+rarest bits, shared bits are counted over blocks of columns (for all pairs through the codes that have each bit), and a candidate
+is abandoned as soon as the bits that are left cannot bring it to the k-th best. Here the test is a bound and the result exact.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PROBES, RECALL, SAMPLED_QUERIES = 8, 0.998, 256
 PAIRS_AT_ONCE = 2_000_000
 #: Rows of a list that are scanned before the limit falls anew.
 PART = 1_024
+#: The share of a part's pairs that may stay for their next columns to be added one by one.
+FEW_STAY = 0.05
 #: Queries that meet a batch of the corpus at once, and the most that are broadcast for it (8.5 MB); more meet in blocks.
 QUERIES_AT_ONCE, MOST_BROADCAST = 4_096, 16_384
 
@@ -44,6 +47,10 @@ def adaptive_scan(q: np.ndarray, c: np.ndarray, k: int, epsilon: float = EPSILON
     n, dim = c.shape
     if n <= k:
         return np.repeat(np.arange(len(q)), n), np.tile(np.arange(n), len(q))
+
+    def factor(seen: int) -> float:
+        return min(1.0, seen / dim * (1 + epsilon / np.sqrt(seen)) ** 2) if seen < dim else 1.0
+
     out_q, out_c = [], []
     step = max(1, PAIRS_AT_ONCE // min(n, PART))
     # at least k rows in the first part, which gives the first limit
@@ -63,17 +70,26 @@ def adaptive_scan(q: np.ndarray, c: np.ndarray, k: int, epsilon: float = EPSILON
                 seeds = np.argpartition(partial, k - 1, axis=1)[:, :k] if k < len(some) else np.tile(np.arange(len(some)), (len(part_q), 1))
                 best = np.sort(((part_q[:, None, :] - some[seeds]) ** 2).sum(2), axis=1)
                 limit = best[:, -1] * (1 + 1e-9) + 1e-12
-            factor = min(1.0, columns / dim * (1 + epsilon / np.sqrt(columns)) ** 2)
-            a, b = np.nonzero(partial <= (limit * factor)[:, None])
-            left = partial[a, b]
+            stay = partial <= (limit * factor(columns))[:, None]
+            many, done = np.count_nonzero(stay), min(dim, columns)
             if stats is not None:
                 stats["pairs"] = stats.get("pairs", 0) + partial.size
-                stats["after_first"] = stats.get("after_first", 0) + len(a)
-            for done in range(columns, dim, columns):
+                stats["after_first"] = stats.get("after_first", 0) + many
+            # where many stay, products give the next columns of all pairs for less than those of the pairs that stay cost by themselves
+            while done < dim and many > FEW_STAY * partial.size:
+                w, x = part_q[:, done : done + columns], some[:, done : done + columns]
+                partial += (w**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * (w @ x.T)
+                done = min(dim, done + columns)
+                if done == dim and k <= len(some):
+                    limit = np.minimum(limit, np.partition(partial, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-11)
+                    seeds = seeds[:, :0]  # the k nearest are no further than the limit
+                stay = partial <= (limit * factor(done))[:, None]
+                many = np.count_nonzero(stay)
+            a, b = np.nonzero(stay)
+            left = partial[a, b]
+            for done in range(done, dim, columns):
                 left = left + ((part_q[a, done : done + columns] - some[b, done : done + columns]) ** 2).sum(1)
-                seen = min(dim, done + columns)
-                factor = min(1.0, seen / dim * (1 + epsilon / np.sqrt(seen)) ** 2) if seen < dim else 1.0
-                stays = left <= limit[a] * factor
+                stays = left <= limit[a] * factor(min(dim, done + columns))
                 a, b, left = a[stays], b[stays], left[stays]
             if end < n and best is not None and len(a):
                 # the k best so far, of those before and of this part, set the limit for the next one
@@ -311,36 +327,65 @@ def _pack(codes: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
+def _counted(q: np.ndarray, first: int, end: int, rows: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """How many of the bits first..end-1 every code of q shares with each of n codes; `rows` has the codes of each bit, from its `starts` on."""
+    active = q.shape[1]
+    held = np.where((q >= first) & (q < end), starts[q + 1] - starts[q], 0)
+    total = np.cumsum(held.sum(1))
+    out = np.empty((len(q), n), np.uint8)
+    low = 0
+    while low < len(q):
+        high = max(low + 1, int(np.searchsorted(total, PAIRS_AT_ONCE + (total[low - 1] if low else 0), "right")))
+        at, number = repeated(held[low:high].ravel())
+        met = rows[starts[q[low:high].ravel()[at]] + number]
+        out[low:high] = np.bincount(at // active * n + met, minlength=(high - low) * n).reshape(-1, n)
+        low = high
+    return out
+
+
 def code_scan(q: np.ndarray, c: np.ndarray, k: int, width: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, shared bits) of all candidates that share as many bits as the k-th best or more, and no fewer
-    than `floor` has for the query.
+    than `floor` has for the query; of those that share nothing, the first k rows are enough.
 
     q, c: bit positions in the order of columns. Candidates whose remaining bits cannot reach the k-th best are abandoned."""
     n = len(c)
     words = -(-width // 64)
-    qw, cw = _pack(q, width), np.ascontiguousarray(_pack(c, width).T)
+    bits = np.argsort(c, axis=None, kind="stable")
+    rows, starts = bits // c.shape[1], np.searchsorted(c.ravel()[bits], np.arange(width + 1))
     ends = [min(words, e) for e in range(WORDS_AT_ONCE, words + WORDS_AT_ONCE, WORDS_AT_ONCE)]
     more_q = [(q >= end * 64).sum(1).astype(np.uint8) for end in ends]
     more_c = [(c >= end * 64).sum(1).astype(np.uint8) for end in ends]
+    qw = cw = None
     out = ([], [], [])
     step = max(1, PAIRS_AT_ONCE // max(1, n))
     for low in range(0, len(q), step):
-        w = qw[low : low + step]
-        shared = np.zeros((len(w), n), np.uint8)
-        for i in range(ends[0]):
-            shared += np.bitwise_count(w[:, i, None] & cw[None, i])
-        least = np.zeros(len(w), np.uint8) if floor is None else floor[low : low + step].astype(np.uint8)
+        part = q[low : low + step]
+        shared = _counted(part, 0, min(width, ends[0] * 64), rows, starts, n)
+        least = np.zeros(len(part), np.uint8) if floor is None else floor[low : low + step].astype(np.uint8)
         if n >= k:
-            seeds = np.argpartition(shared, n - k, axis=1)[:, n - k :]
-            least = np.maximum(least, sum(np.bitwise_count(w[:, i, None] & cw[i][seeds]) for i in range(words)).min(1))
-        # the first block prunes as a matrix, the others pair by pair
-        a, b = np.nonzero(shared + np.minimum(more_q[0][low : low + step, None], more_c[0][None, :]) >= least[:, None])
-        left = shared[a, b]
-        for i, (start, end) in enumerate(zip(ends, ends[1:]), 1):
-            for word in range(start, end):
-                left = left + np.bitwise_count(w[a, word] & cw[word, b])
-            stays = left + np.minimum(more_q[i][low + a], more_c[i][b]) >= least[a]
-            a, b, left = a[stays], b[stays], left[stays]
+            # bits of more columns only add to these
+            least = np.maximum(least, np.partition(shared, n - k, axis=1)[:, n - k])
+        stay = shared + np.minimum(more_q[0][low : low + step, None], more_c[0][None, :]) >= least[:, None]
+        if np.count_nonzero(stay) > FEW_STAY * stay.size:
+            # the other columns of all pairs at once
+            shared += _counted(part, ends[0] * 64, width, rows, starts, n)
+            if n >= k:
+                least = np.maximum(least, np.partition(shared, n - k, axis=1)[:, n - k])
+            stay = shared >= np.maximum(least, 1)[:, None]
+            stay[least == 0, :k] = True
+            a, b = np.nonzero(stay)
+            left = shared[a, b]
+        else:
+            if qw is None:
+                qw, cw = _pack(q, width), np.ascontiguousarray(_pack(c, width).T)
+            w = qw[low : low + step]
+            a, b = np.nonzero(stay)
+            left = shared[a, b]
+            for i, (start, end) in enumerate(zip(ends, ends[1:]), 1):
+                for word in range(start, end):
+                    left = left + np.bitwise_count(w[a, word] & cw[word, b])
+                stays = left + np.minimum(more_q[i][low + a], more_c[i][b]) >= least[a]
+                a, b, left = a[stays], b[stays], left[stays]
         for o, x in zip(out, (a + low, b, left.astype(np.int16))):
             o.append(x)
     return tuple(np.concatenate(o) for o in out)

@@ -137,6 +137,30 @@ def test_the_scan_abandons_candidates():
         assert set(best) <= set(b[a == i])
 
 
+@pytest.mark.parametrize("few", [0.0, 0.05, 1.0])
+def test_the_scan_gives_little_more_than_the_nearest(monkeypatch, few):
+    monkeypatch.setattr(nearest, "FEW_STAY", few, raising=False)
+    # one list: its first columns tell little, so that most of it stays after them
+    c, _ = clustered(4, [2500], noise=0.08)
+    c[7] = c[1200] = c[2400]  # copies in each of its parts
+    q = np.concatenate([c[::50], c[7:8]])
+    turn = np.linalg.qr(np.random.default_rng(1).standard_normal((64, 64)))[0]
+    stats = {}
+    a, b = nearest.adaptive_scan(unit(q) @ turn, unit(c) @ turn, 5, stats=stats)
+    assert stats["after_first"] > 0.2 * stats["pairs"]
+    for i, best in enumerate(brute(q, c, 5)):
+        assert set(best) <= set(b[a == i])
+    if few == 0.05:
+        # 5 of each of the 3 parts, as later ones have a limit
+        assert len(a) <= len(q) * 5 * 3
+    # no further than a limit that is given: the k best and copies of the k-th
+    kth = np.sort(2 - 2 * unit(q) @ unit(c).T, axis=1)[:, 4]
+    a, b = nearest.adaptive_scan(unit(q) @ turn, unit(c) @ turn, 5, most=kth)
+    for i, best in enumerate(brute(q, c, 5)):
+        assert set(best) <= set(b[a == i])
+    assert len(a) <= len(q) * 7
+
+
 CODES = "idx long, code array<int>, class string, first_idx int"
 
 
@@ -165,6 +189,31 @@ def test_nearest_codes_equal_brute_force(spark):
     assert set(got) == {i for i, _ in queries}
 
 
+@pytest.mark.parametrize(("few", "at_once", "width"), [(0.0, 2_000_000, 3200), (0.05, 3_000, 3200), (1.0, 2_000_000, 3200), (0.05, 2_000_000, 90)])
+def test_the_code_scan_has_the_best(monkeypatch, few, at_once, width):
+    monkeypatch.setattr(nearest, "FEW_STAY", few, raising=False)
+    monkeypatch.setattr(nearest, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(2)
+    # some bits in many codes, most in few
+    weight = 1 / (1 + np.arange(width)[::-1])
+    codes = np.sort([rng.choice(width, 16, replace=False, p=weight / weight.sum()) for _ in range(400)], axis=1)
+    q, c = codes[:60].copy(), codes[40:]
+    q[3] = np.setdiff1d(np.arange(width), c[:6])[:16] if width > 2000 else q[3]
+    true = (q[:, None, :, None] == c[None, :, None, :]).sum((2, 3))
+    for floor in (None, np.sort(true, axis=1)[:, -5]):
+        a, b, shared = nearest.code_scan(q, c, 5, width, floor)
+        assert (shared == true[a, b]).all()
+        best = nearest.best_k(a, b, shared.astype(np.int64), 5)
+        expected = [(i, j) for i, row in enumerate(true) for j in sorted(range(len(c)), key=lambda j: (-row[j], j))[:5]]
+        assert list(zip(a[best].tolist(), b[best].tolist())) == expected
+
+
+def test_codes_that_share_nothing_are_not_gathered():
+    q, c = np.arange(16)[None, :], np.arange(16, 16 + 16 * 180).reshape(180, 16)
+    a, b, shared = nearest.code_scan(q, c, 5, 3200)
+    assert b.tolist() == [0, 1, 2, 3, 4] and not shared.any()
+
+
 def test_nearest_codes_empty(spark):
     one, none = code_frame(spark, [(4, list(range(16)))]), code_frame(spark, [])
     assert nearest.nearest_codes(none, one).count() == 0 and nearest.nearest_codes(one, none).count() == 0
